@@ -7,12 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, sharding
-from .common import load
+from . import bpe, decontaminate, exact_dedup, quality, sharding, toxicity
+from .common import fold, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    scorer = quality.train(docs, load(spark, sf_dir, "labels"))
+    return judged(quality.score(docs, scorer), quality.FOLDS, quality.HELD_OUT, 0.5)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = toxicity.train(docs, load(spark, sf_dir, "labels"))
+    return judged(toxicity.score(docs, model), toxicity.FOLDS, toxicity.HELD_OUT, 0.3)
+
+
+def judged(scored: DataFrame, folds: int, held_out: int, least: float) -> DataFrame:
+    return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,6 +59,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality": op1_quality,
+        "op2_toxicity": op2_toxicity,
         "op3_byte_bpe": op3_byte_bpe,
         "op5_exact_dedup": op5_exact_dedup,
         "op9_jump_sharding": op9_jump_sharding,
