@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, quality, sharding, toxicity
-from .common import fold, load
+from . import bpe, decontaminate, exact_dedup, licences, line_dedup, quality, sharding, toxicity
+from .common import fold, load, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,15 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(load(spark, sf_dir, "documents").withColumn("__lines", F.size(F.split(text_of(), "\n"))))
+    return cut.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.size("__removed").cast("long").alias("n_removed"), F.sha2(text_of().cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(load(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
@@ -62,6 +71,8 @@ def queries() -> dict[str, Query]:
         "op1_quality": op1_quality,
         "op2_toxicity": op2_toxicity,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_line_dedup": op4_line_dedup,
+        "op6_licence_scan": op6_licence_scan,
         "op5_exact_dedup": op5_exact_dedup,
         "op9_jump_sharding": op9_jump_sharding,
         "op10_decontaminate": op10_decontaminate,
@@ -69,8 +80,19 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op10_decontaminate": OP10_SQL}
-
+    return {"op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op10_decontaminate": OP10_SQL}
+
+
+OP4_SQL = r"""
+WITH line AS (
+  SELECT doc_id, source, k - 1 AS pos, l[k] AS line
+  FROM (SELECT doc_id, coalesce(source, '') AS source, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS r(k)),
+spread AS (SELECT line, min((doc_id, pos)) AS first FROM line WHERE trim(line) != '' GROUP BY line HAVING count(DISTINCT source) >= 8),
+marked AS (SELECT line.*, spread.first IS NOT NULL AND (doc_id, pos) != spread.first AS gone FROM line LEFT JOIN spread USING (line))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
 
 OP5_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
