@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, licences, line_dedup, quality, sharding, toxicity
+from . import bpe, decontaminate, exact_dedup, licences, line_dedup, ngram_join, quality, sharding, toxicity
 from .common import fold, load, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(load(spark, sf_dir, "documents"))
+
+
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(load(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Query]:
         "op4_line_dedup": op4_line_dedup,
         "op6_licence_scan": op6_licence_scan,
         "op5_exact_dedup": op5_exact_dedup,
+        "op8_ngram_join": op8_ngram_join,
         "op9_jump_sharding": op9_jump_sharding,
         "op10_decontaminate": op10_decontaminate,
     }
