@@ -2,8 +2,10 @@
 
 A task's documents are split by the pattern; the distinct pieces of a block form its corpus. All of them are laid out in
 one token array with links to the live neighbours, and an inverted index holds, for each token pair that merges, the
-positions where the pair stands. Merges are applied in rank order; each one touches its two neighbours only. A piece in
-which a lower rank comes up again is finished for that rank first, so every piece ends as if it had been merged alone.
+positions where the pair stands. Merges are applied in rank order, each to all of its positions at once; only the
+neighbours of a merged pair are looked at again. In a piece that holds a pair more than once the leftmost goes first and
+the others go back to the index, so a lower rank that comes up there is merged before them: every piece ends exactly as
+if it had been merged alone.
 
 Encoded pieces stay in a bounded table of the task, so frequent pieces are replayed once. Nothing is shuffled.
 """
@@ -14,18 +16,17 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most pieces kept encoded in a task, and the longest that is kept.
-CACHE_PIECES = 200_000
-CACHE_PIECE_BYTES = 64
+#: Most pieces kept encoded in a task between blocks.
+CACHE_PIECES = 400_000
 #: Text of a block, in characters; one longer text is a block of its own.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 24_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,70 +39,94 @@ class MergeReplay:
     """Encodes sets of byte strings by replaying merges over all of them."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self._pair: dict[tuple[int, int], int | None] = {}
-
-    def rank(self, a: int, b: int) -> int | None:
-        """Rank of the token that the neighbours a and b merge to."""
-        key = (a, b)
-        if key not in self._pair:
-            if len(self._pair) > 1_000_000:
-                self._pair.clear()
-            self._pair[key] = self.ranks.get(self.tokens[a] + self.tokens[b])
-        return self._pair[key]
-
-    def encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        token: list[int] = []
-        word: list[int] = []
-        for w, piece in enumerate(pieces):
-            token += map(self.single.__getitem__, piece)
-            word += [w] * len(piece)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
+                    pairs[a << 32 | b] = rank
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.pair_rank = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the token that each two neighbours merge to, or -1."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_rank[at], -1)
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all pieces in a row, and the len + 1 offsets of each piece's tokens."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        token = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        word = np.repeat(np.arange(len(pieces)), size)
         n = len(token)
-        left = [i - 1 if i and word[i - 1] == word[i] else -1 for i in range(n)]
-        right = [i + 1 if i + 1 < n and word[i + 1] == word[i] else -1 for i in range(n)]
-        index: dict[int, list[int]] = {}
-        for i in range(n):
-            if right[i] >= 0 and (r := self.rank(token[i], token[i + 1])) is not None:
-                index.setdefault(r, []).append(i)
-        order = list(index)
-        heapq.heapify(order)
+        if not n:
+            return token, np.zeros(len(pieces) + 1, np.int64)
+        # one place more, so that -1 is a dead neighbour
+        left, right = np.arange(-1, n), np.arange(1, n + 2)
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(word)) + 1))
+        left[starts] = -1
+        right[np.concatenate((starts[1:] - 1, [n - 1]))] = -1
+        token = np.concatenate((token, [-1]))
+
+        index: dict[int, list[np.ndarray]] = {}
+        order: list[int] = []
+
+        def put(ranks: np.ndarray, at: np.ndarray) -> None:
+            by = np.argsort(ranks, kind="stable")
+            ranks, at = ranks[by], at[by]
+            cut = np.flatnonzero(np.diff(ranks)) + 1
+            for r, where in zip(ranks[np.concatenate(([0], cut))].tolist(), np.split(at, cut), strict=True):
+                if r in index:
+                    index[r].append(where)
+                else:
+                    index[r] = [where]
+                    heapq.heappush(order, r)
+
+        at = np.flatnonzero(right[:n] >= 0)
+        ranks = self.rank(token[at], token[at + 1])
+        if (ranks >= 0).any():
+            put(ranks[ranks >= 0], at[ranks >= 0])
         while order:
             r = heapq.heappop(order)
-            at = index.pop(r, None)
-            if at is None:
+            found = index.pop(r)
+            at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            after = right[at]
+            live = (after >= 0) & (token[at] >= 0)
+            at, after = at[live], after[live]
+            same = self.rank(token[at], token[after]) == r  # a merge nearby may have taken one of the two
+            at, after = at[same], after[same]
+            if not len(at):
                 continue
-            later: list[int] = []
-            behind: set[int] = set()  # pieces in which a lower rank came up
-            for i in sorted(at):
-                j = right[i]
-                if token[i] < 0 or j < 0 or self.rank(token[i], token[j]) != r:
-                    continue  # a merge nearby took one of the two
-                if word[i] in behind:
-                    later.append(i)
-                    continue
-                token[i], token[j] = r, -1
-                right[i] = k = right[j]
-                if k >= 0:
-                    left[k] = i
-                for p, q in ((left[i], i), (i, k)):
-                    if p >= 0 and q >= 0 and (new := self.rank(token[p], token[q])) is not None:
-                        if new not in index:
-                            index[new] = []
-                            heapq.heappush(order, new)
-                        index[new].append(p)
-                        if new < r:
-                            behind.add(word[i])
-            if later:
-                if r not in index:
-                    heapq.heappush(order, r)
-                index.setdefault(r, []).extend(later)
-        out: list[list[int]] = [[] for _ in pieces]
-        for t, w in zip(token, word, strict=True):
-            if t >= 0:
-                out[w].append(t)
-        return [tuple(x) for x in out]
+            first = np.ones(len(at), bool)
+            first[1:] = word[at[1:]] != word[at[:-1]]
+            if not first.all():
+                put(np.full(len(at) - int(first.sum()), r), at[~first])
+                at, after = at[first], after[first]
+            token[at], token[after] = r, -1
+            beyond = right[after]
+            right[at] = beyond
+            left[beyond] = at  # for -1 this writes the spare place
+            before = left[at]
+            p, q = np.concatenate((before, at)), np.concatenate((at, beyond))
+            live = (p >= 0) & (q >= 0)
+            p, q = p[live], q[live]
+            if len(p):
+                ranks = self.rank(token[p], token[q])
+                if (some := ranks >= 0).any():
+                    put(ranks[some], p[some])
+        alive = token[:n] >= 0
+        counts = np.bincount(word[alive], minlength=len(pieces))
+        return token[:n][alive], np.concatenate(([0], np.cumsum(counts)))
+
+
+class Pieces(dict):
+    """Numbers of pieces; new ones are numbered as they come."""
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        return number
 
 
 class Codec:
@@ -110,25 +135,31 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.replay = MergeReplay(ranks)
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces = Pieces()
+        self.ids: list[list[int]] = []  # of each piece
+        self.digits: list[str] = []
+        self.plain: list[bytes] = []
 
     def encode_block(self, texts: list[str]) -> list[list[int]]:
-        pieces = [self.split(t) for t in texts]
-        fresh = sorted(set(chain.from_iterable(pieces)).difference(self.known))
-        if len(self.known) + len(fresh) > CACHE_PIECES:
-            self.known.clear()
-            fresh = sorted(set(chain.from_iterable(pieces)))
-        self.known.update(zip(fresh, self.replay.encode([p.encode() for p in fresh]), strict=True))
-        get = self.known.__getitem__
-        out = [list(chain.from_iterable(map(get, p))) for p in pieces]
-        for p in fresh:
-            if len(p) > CACHE_PIECE_BYTES:
-                del self.known[p]
+        """The piece numbers of each text; ``ids``, ``digits`` and ``plain`` then have what each piece stands for."""
+        if len(self.pieces) > CACHE_PIECES:
+            self._forget()
+        number = self.pieces.__getitem__
+        out = [np.fromiter(map(number, self.split(t)), np.int32) for t in texts]
+        fresh = list(self.pieces)[len(self.ids) :]
+        tokens, at = self.replay.encode([p.encode() for p in fresh])
+        flat, ends = tokens.tolist(), at.tolist()
+        token = self.replay.tokens.__getitem__
+        for a, b in zip(ends, ends[1:], strict=False):
+            ids = flat[a:b]
+            self.ids.append(ids)
+            self.digits.append(",".join(map(str, ids)))
+            self.plain.append(b"".join(map(token, ids)))  # decoding maps over concatenation, so it is done by piece
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.replay.tokens.__getitem__, ids))
-
 
 def blocks_of(texts: list[str | None], most: int) -> Iterator[list[str]]:
     block: list[str] = []
@@ -155,15 +186,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks.value, pattern)
-        names = [str(i) for i in range(max(codec.replay.tokens) + 1)]
         for batch in batches:
             n, ids_hash, text_hash, all_ids = [], [], [], []
             for block in blocks_of(batch.column(1).to_pylist(), BLOCK_CHARS):
-                for ids in codec.encode_block(block):
-                    n.append(len(ids))
-                    ids_hash.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                    text_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-                    all_ids.append(ids if with_ids else None)
+                for numbers in codec.encode_block(block):
+                    numbers = numbers.tolist()
+                    digits = ",".join(map(codec.digits.__getitem__, numbers))
+                    n.append(digits.count(",") + 1 if digits else 0)
+                    ids_hash.append(hashlib.sha256(digits.encode()).hexdigest())
+                    text_hash.append(hashlib.sha256(b"".join(map(codec.plain.__getitem__, numbers))).hexdigest())
+                    all_ids.append([i for k in numbers for i in codec.ids[k]] if with_ids else None)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             if with_ids:
                 columns.append(pa.array(all_ids, pa.list_(pa.int32())))
