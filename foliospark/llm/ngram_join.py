@@ -154,31 +154,48 @@ def required(n):
     return (80 * n + 99) // 100
 
 
-def ordered_sets(docs: DataFrame, order: Order) -> DataFrame:
-    """id, n, prefix array<bigint>, parts array<binary>: the first n-grams in the global order, and all of them by fragment."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+def _blocks_in_order(batch: pa.RecordBatch, order: Order) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, set sizes, document numbers and n-grams in the global order, of each block of (id, text)."""
+    for i, j, d, h in blocks(batch):
+        by = np.argsort(d * 64 + order.size_class[bucket_of(h)], kind="stable")  # by class, then hash, in each document
+        yield batch.column(0).slice(i, j - i), np.bincount(d, minlength=j - i), d[by], h[by]
+
+
+def bucket_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def prefixes(texts: DataFrame, order: Order) -> DataFrame:
+    """id, n, prefix array<bigint> of each text (id, text) that has n-grams: the first of them in the global order."""
+    shared = texts.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size_class, fragment = shared.value.size_class, shared.value.fragment
         for batch in batches:
-            for i, j, d, h in blocks(batch):
-                bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-                by = np.argsort(d * 64 + size_class[bucket], kind="stable")  # by class, then hash, in each document
-                d, h, bucket = d[by], h[by], bucket[by]
-                n = np.bincount(d, minlength=j - i)
-                ends = np.cumsum(n)
-                place = np.arange(len(d)) - (ends - n)[d]
+            for ids, n, d, h in _blocks_in_order(batch, shared.value):
+                place = np.arange(len(d)) - (np.cumsum(n) - n)[d]
                 length = np.where(n > 0, n - required(n) + 1, 0)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(h[place < length[d]].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), prefix], names=["id", "n", "prefix"]).filter(pa.array(n > 0))
+
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, n bigint, prefix array<bigint>")
+
+
+def fragment_parts(texts: DataFrame, order: Order) -> DataFrame:
+    """id, parts array<binary> of each text (id, text): all of its n-grams by fragment of the global order."""
+    shared = texts.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, n, d, h in _blocks_in_order(batch, shared.value):
                 # fragments are ranges of the order, so they follow one another
-                sizes = np.bincount(d * FRAGMENTS + fragment[bucket], minlength=(j - i) * FRAGMENTS)
-                low = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]
-                parts = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(sizes) * TOKEN_BYTES)).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(low).tobytes())])
-                parts = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * FRAGMENTS, pa.int32()), parts)
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), prefix, parts], names=["id", "n", "prefix", "parts"])
-                yield out.filter(pa.array(n > 0))
+                sizes = np.bincount(d * FRAGMENTS + shared.value.fragment[bucket_of(h)], minlength=len(n) * FRAGMENTS)
+                low = np.ascontiguousarray(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES])
+                ends = np.concatenate(([0], np.cumsum(sizes) * TOKEN_BYTES)).astype(np.int32)
+                parts = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(low.tobytes())])
+                parts = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * FRAGMENTS, pa.int32()), parts)
+                yield pa.RecordBatch.from_arrays([ids, parts], names=["id", "parts"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n bigint, prefix array<bigint>, parts array<binary>")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, parts array<binary>")
 
 
 def count_overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,17 +221,20 @@ def tokens(parts: pa.Array) -> np.ndarray:
     return wide.view(np.uint64).ravel() | rows << np.uint64(8 * TOKEN_BYTES)
 
 
-def with_ids(frame: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of ``frame`` on id; the ids are broadcast if their number is within the bound."""
+def with_ids(frame: DataFrame, ids: DataFrame, how: str, on: str = "id") -> DataFrame:
+    """Semi or anti join of ``frame`` on its key; the keys are broadcast if their number is within the bound."""
     few = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return frame.join(F.broadcast(ids) if few else ids, "id", how)
+    return frame.join(F.broadcast(ids) if few else ids, on, how)
+
 
+def linked(pairs: DataFrame, texts: DataFrame, order: Order) -> DataFrame:
+    """a, b of the pairs (a, b, na, nb) that are similar enough: partial overlaps by fragment, summed per pair.
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b of the pairs (a, b, na, nb) that are similar enough: partial overlaps by fragment, summed per pair."""
+    Sets are made again from the texts of the documents compared, so the sets of all others are never stored.
+    """
     pairs = materialize(pairs, "pairs")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    parts = with_ids(sets.select("id", "parts"), wanted, "left_semi").select("id", F.posexplode("parts").alias("fragment", "part"))
+    parts = materialize(fragment_parts(with_ids(texts, wanted, "left_semi"), order).select("id", F.posexplode("parts").alias("fragment", "part")), "parts")
     met = (
         pairs.join(parts.select(F.col("id").alias("a"), "fragment", F.col("part").alias("x")), "a")
         .join(parts.select(F.col("id").alias("b"), "fragment", F.col("part").alias("y")), ["b", "fragment"])
@@ -232,10 +252,16 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def enough(count: str) -> str:
+    """SQL: ``count`` common prefix n-grams, and all of the longer rest, can make up the overlap that a link needs."""
+    rest = "greatest(floor((80 * na + 99) / 100), floor((80 * nb + 99) / 100)) - 1"
+    return f"180 * ({count} + {rest}) >= 80 * (na + nb)"
+
+
 SIZES_FIT = "100 * least(na, nb) >= 80 * greatest(na, nb)"
 
 
-def find_links(sets: DataFrame) -> list[DataFrame]:
+def find_links(sets: DataFrame, texts: DataFrame, order: Order) -> list[DataFrame]:
     """Tables of links (a, b) that join every two sets of similarity 0.8 or more in one component."""
     spark = sets.sparkSession
     postings = sets.select("id", "n", F.explode("prefix").alias("token"))
@@ -254,8 +280,9 @@ def find_links(sets: DataFrame) -> list[DataFrame]:
         if left <= 2 * rows or turn == ROUNDS:
             break
         tried = members.where("label != lead.label").select(F.col("id").alias("a"), F.col("lead.id").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb")).where(SIZES_FIT)
-        best = tried.groupBy("a", "b", "na", "nb").count().groupBy("a", "na").agg(F.max(F.struct("count", "b", "nb")).alias("top")).select("a", F.col("top.b").alias("b"), "na", F.col("top.nb").alias("nb"))
-        new = materialize(linked(best, sets), "new-links")
+        # a leader leads only some of the n-grams that a pair shares; half of those needed are a good sign
+        best = tried.groupBy("a", "b", "na", "nb").count().where(enough("2 * count")).groupBy("a", "na").agg(F.max(F.struct("count", "b", "nb")).alias("top")).select("a", F.col("top.b").alias("b"), "na", F.col("top.nb").alias("nb"))
+        new = materialize(linked(best, texts, order), "new-links")
         tidy(spark)
         if new.isEmpty():
             break
@@ -267,9 +294,8 @@ def find_links(sets: DataFrame) -> list[DataFrame]:
         tidy(spark)
     one, two = (members.select("token", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("label").alias(f"l{k}")) for k in "ab")
     met = one.join(two, "token").where("a < b AND la != lb").where(SIZES_FIT).groupBy("a", "b", "na", "nb").count()
-    rest = lambda n: f"(floor((80 * {n} + 99) / 100) - 1)"  # noqa: E731  n-grams behind the prefix
-    enough = met.where(f"180 * (count + greatest({rest('na')}, {rest('nb')})) >= 80 * (na + nb)").drop("count")
-    out.append(materialize(linked(enough, sets), "new-links"))
+    met = met.where(enough("count")).drop("count")
+    out.append(materialize(linked(met, texts, order), "new-links"))
     return out
 
 
@@ -290,8 +316,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = sizes.where("id IS NOT NULL AND n > 0")
     groups = materialize(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("count")).where("count > 1").drop("count"), "equal-sets")
     same = materialize(known.join(groups, ["n", "s1", "s2"]).where("id != b").select(F.col("id").alias("a"), "b"), "equal-links")
-    sets = materialize(ordered_sets(with_ids(texts.where("id IS NOT NULL"), same.select(F.col("a").alias("id")).distinct(), "left_anti"), order), "sets")
-    labels = connected_components(union_all([same, *find_links(sets)]))
+    texts = texts.where("id IS NOT NULL")
+    sets = materialize(prefixes(with_ids(texts, same.select(F.col("a").alias("id")).distinct(), "left_anti"), order), "sets")
+    labels = connected_components(union_all([same, *find_links(sets, texts, order)]))
     tidy(spark)
     return sizes.join(labels, F.col("id") == F.col("v"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, licences, line_dedup, ngram_join, quality, sharding, toxicity
+from . import bpe, decontaminate, exact_dedup, licences, line_dedup, ngram_join, quality, sharding, substring_dedup, toxicity
 from .common import fold, load, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.cut_repeats(load(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(load(spark, sf_dir, "documents"))
 
@@ -78,6 +83,7 @@ def queries() -> dict[str, Query]:
         "op4_line_dedup": op4_line_dedup,
         "op6_licence_scan": op6_licence_scan,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_ngram_join": op8_ngram_join,
         "op9_jump_sharding": op9_jump_sharding,
         "op10_decontaminate": op10_decontaminate,
