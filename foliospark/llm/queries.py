@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import bpe, decontaminate, exact_dedup, licences, line_dedup, ngram_join, quality, sharding, substring_dedup, toxicity
 from .common import fold, load, text_of
 
@@ -87,6 +89,7 @@ def queries() -> dict[str, Query]:
         "op8_ngram_join": op8_ngram_join,
         "op9_jump_sharding": op9_jump_sharding,
         "op10_decontaminate": op10_decontaminate,
+        "pipeline": corpus_pipeline.run,
     }
 
 
