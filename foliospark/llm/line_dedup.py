@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of, union_all
+from .common import fresh, materialize, text_of, union_all
 
 MIN_SITES = 8
 LG_K = 10
@@ -53,7 +53,7 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """All rows and columns of ``docs`` with repeated cross-site lines cut from the text, and __removed array<int>, the positions.
+    """All rows and columns of ``docs`` with repeated cross-site lines cut from the text, and __removed array<int>, the positions, last.
 
     Lines end at a newline; blank lines stay and count nowhere. A null text stays null, an empty one empty. Rows that
     repeat id and text are treated alike. Columns named like the helper columns here are not touched, as helpers are
@@ -62,10 +62,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = exploded_lines(docs, id_col, text_col, site_col)
     spread = materialize(boilerplate(lines, min_sites), "line-boilerplate")
     gone = lines.join(spread, ["h1", "h2"]).where(~F.struct("doc", "pos", "t1").eqNullSafe(F.col("first")))
-    gone = gone.groupBy(F.col("doc").alias("__doc"), F.col("t1").alias("__t1")).agg(F.collect_set("pos").alias("__removed"))
-    kept = "array_join(transform(filter(transform(split(%s, '\\n'), (l, i) -> struct(l, i)), x -> NOT array_contains(__removed, x.i)), x -> x.l), '\\n')" % f"`{text_col}`"
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(text_of(text_col)) == F.col("__t1")), "left")
+    doc, t1, removed = fresh(docs.columns, "__doc", "__t1", "__removed")
+    gone = gone.groupBy(F.col("doc").alias(doc), F.col("t1").alias(t1)).agg(F.collect_set("pos").alias(removed))
+    kept = f"array_join(transform(filter(transform(split(`{text_col}`, '\n'), (l, i) -> struct(l, i)), x -> NOT array_contains(`{removed}`, x.i)), x -> x.l), '\n')"
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(text_of(text_col)) == F.col(t1)), "left")
     return joined.select(
-        *[(F.when(F.col("__removed").isNull(), F.col(c)).otherwise(F.expr(kept)).alias(c) if c == text_col else F.col(c)) for c in docs.columns],
-        F.coalesce(F.col("__removed"), F.array().cast("array<int>")).alias("__removed"),
+        *[(F.when(F.col(removed).isNull(), F.col(c)).otherwise(F.expr(kept)).alias(c) if c == text_col else F.col(c)) for c in docs.columns],
+        F.coalesce(F.col(removed), F.array().cast("array<int>")).alias(removed),
     )

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_blocks, text_of, union_all
+from .common import fresh, materialize, text_blocks, text_of, union_all
 from .components import connected_components
 from .hashing import mix, prefix_hash, span_hash
 
@@ -327,4 +327,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs``, all columns, but for those whose component has a smaller id; rows with null ids stay."""
     found = materialize(similar_components(docs, id_col, text_col).where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("id")).distinct(), "near-copies")
     few = found.count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(found) if few else found, F.col(id_col) == F.col("id"), "left_anti")
+    (name,) = fresh(docs.columns, "__copy")
+    found = found.withColumnRenamed("id", name)
+    return docs.join(F.broadcast(found) if few else found, F.col(id_col) == F.col(name), "left_anti")
