@@ -40,7 +40,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
 
 
 def release(spark: SparkSession) -> None:
@@ -52,6 +54,15 @@ def release(spark: SparkSession) -> None:
         _made.remove(entry)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that only tables written since were made from."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _made[:] = [x for x in _made if x[1] != table.scratch_path]
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

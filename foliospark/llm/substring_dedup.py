@@ -2,12 +2,14 @@
 
 Sharding. A window of ``length`` bytes is keyed by its least hash of GRAM-byte grams, so equal windows share a key wherever
 they stand. A maximal run of windows of one key is a segment; a text of n bytes has about 2n / length of them. Keys met once
-cannot hold a repeated window, so only segments of the other keys go on. Segments of equal content are
-combined first: two copies say all that a thousand copies would, so no group of copies meets in one task.
+cannot hold a repeated window, so only segments of the other keys go on; nor can a segment whose key gram, with as many bytes
+to the left or to the right as the longer side of a window must have, is met once. Segments of equal content are combined and
+carry their number, so no group of copies meets in one task.
 
 Sorting. Segments are dealt to shards by key. Each shard is one text, each segment behind a separator, whose suffix array and
 common prefixes come from external induced sorting (``suffix_array``), with its queues and texts on disk where they
-exceed their memory bounds. Positions whose common prefix with a neighbour reaches ``length`` start a repeated window.
+exceed their memory bounds. Positions whose common prefix with a neighbour reaches ``length`` start a repeated window; a suffix
+of a segment that stands for several copies has its equals beside it.
 
 Cutting. Repeated windows go back to all places of their segment and become byte spans of each document.
 """
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, string_buffers, text_of
+from .common import discard, materialize, string_buffers, text_of
 from .hashing import prefix_hash, span_hash
 from .ngram_join import tidy, with_ids
 from .suffix_array import suffix_array
@@ -29,7 +31,7 @@ from .suffix_array import suffix_array
 LENGTH = 200
 GRAM = 16
 BLOCK_BYTES = 1_500_000
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 3_000_000
 #: Low bits of a packed (hash, position): positions in a block.
 _PLACE = np.uint64((1 << 26) - 1)
 
@@ -65,7 +67,8 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(block: list[tuple[int, int, np.ndarray]], length: int) -> tuple[np.ndarray, ...]:
-    """Piece number, offset in the piece, windows, key, content hash and number of distinct anchors of each segment of a block."""
+    """Of each segment of a block: piece number, offset in the piece, windows, key, content hash, number of distinct anchors,
+    hash of the key gram with the bytes to its left, and to its right, as far as the segment has them (else 0)."""
     data = np.concatenate([p for _, _, p in block])
     sizes = np.array([len(p) for _, _, p in block])
     ends = np.cumsum(sizes)
@@ -88,28 +91,32 @@ def segments(block: list[tuple[int, int, np.ndarray]], length: int) -> tuple[np.
     moved = np.concatenate(([0], np.cumsum(anchor[1:] != anchor[:-1])))
     first, last = window[head], window[tail]
     piece = np.searchsorted(starts, first, "right") - 1
-    return piece, first - starts[piece], last - first + 1, key[head], span_hash(sums, first, last + length), moved[tail] - moved[head] + 1
+    place, side = anchor[head], (length - GRAM) // 2
+    left = np.where(place - side >= first, span_hash(sums, np.maximum(place - side, 0), place + GRAM), np.uint64(0))
+    to = place + GRAM + side
+    right = np.where(to <= last + length, span_hash(sums, place, np.minimum(to, len(data))), np.uint64(0))
+    return piece, first - starts[piece], last - first + 1, key[head], span_hash(sums, first, last + length), moved[tail] - moved[head] + 1, left, right
 
 
 def segment_table(texts: DataFrame, length: int) -> DataFrame:
-    """id, t, at, windows, key, content, anchors of each segment of the texts (id, t, text)."""
+    """id, t, at, windows, key, content, anchors, left, right of each segment of the texts (id, t, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in pieces(batch.column(2), length):
-                piece, at, windows, key, content, anchors = segments(block, length)
+                piece, at, windows, key, content, anchors, left, right = segments(block, length)
                 row = pa.array(np.array([r for r, _, _ in block])[piece])
                 at = at + np.array([o for _, o, _ in block])[piece]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(at, pa.int64()), pa.array(windows, pa.int32()), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(anchors, pa.int64())],
-                    names=["id", "t", "at", "windows", "key", "content", "anchors"],
+                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(at, pa.int64()), pa.array(windows, pa.int32()), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(anchors, pa.int32()), pa.array(left.view(np.int64)), pa.array(right.view(np.int64))],
+                    names=["id", "t", "at", "windows", "key", "content", "anchors", "left", "right"],
                 )
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, t bigint, at bigint, windows int, key bigint, content bigint, anchors bigint")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, t bigint, at bigint, windows int, key bigint, content bigint, anchors int, left bigint, right bigint")
 
 
 def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the listed segments (struct of at, size, key, content, copies) of each text; one row for each copy that counts."""
+    """Bytes of the listed segments (struct of at, size, key, content, copies) of each text."""
     for batch in batches:
         values, offsets = string_buffers(batch.column(0))
         out: dict[str, list] = {k: [] for k in ("key", "content", "copies", "bytes")}
@@ -127,50 +134,40 @@ def repeated_windows(length: int):
     """For the segments of a shard: runs [first, last] of repeated windows of each, as key, content, first, last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, contents, sizes, parts = [], [], [], []
+        keys, contents, copies, sizes, text = [], [], [], [], []
         for batch in batches:
             values, offsets = string_buffers(batch.column(3))
-            copies = batch.column(2).to_numpy()
             keys.append(batch.column(0).to_numpy())
             contents.append(batch.column(1).to_numpy())
+            copies.append(batch.column(2).to_numpy())
             sizes.append(np.diff(offsets))
-            doubled = [values[offsets[i] : offsets[i + 1]] for i in np.flatnonzero(copies > 1)]
-            parts.append((values[offsets[0] : offsets[-1]], np.diff(offsets), np.concatenate(doubled) if doubled else values[:0], np.array([len(x) for x in doubled], np.int64)))
+            text.append(values[offsets[0] : offsets[-1]])
         if not keys:
             return
-        # once each, then the second copies; behind each segment stands a separator
-        text, lengths = [], []
-        for k in (0, 2):
-            for part in parts:
-                text.append(part[k])
-                lengths.append(part[k + 1])
-        raw, lengths = np.concatenate(text), np.concatenate(lengths).astype(np.int64)
-        parts.clear()
+        raw, lengths = np.concatenate(text), np.concatenate(sizes).astype(np.int64)
+        text.clear()
         wide = np.uint16 if len(raw) and raw.max() > 0xF4 else np.uint8  # UTF-8 leaves room for two more symbols
-        whole = np.ones(len(raw) + len(lengths) + 1, wide)
+        whole = np.ones(len(raw) + len(lengths) + 1, wide)  # a separator behind each segment
         whole[-1] = 0
         place = np.ones(len(whole), bool)
         ends = np.cumsum(lengths + 1) - 1
         place[ends] = place[-1] = False
         whole[place] = raw.astype(wide) + wide(2)
-        del raw, text
-        starts = ends - lengths
-        seen = np.zeros(len(whole), bool)
-        above = None  # the suffix array comes from the largest suffix down
+        del raw
+        seen = np.append(np.repeat(np.concatenate(copies) > 1, lengths + 1), False)
+        above = False  # the suffix array comes from the largest suffix down
         for at, prefix in suffix_array(whole, length):
             hit = prefix >= length
             seen[at[hit]] = True
+            seen[at[1:][hit[:-1]]] = True
             if above:
                 seen[at[0]] = True
-            seen[at[1:][hit[:-1]]] = True
             above = bool(hit[-1])
-        n = sum(map(len, keys))
-        room = np.arange(len(whole)) <= np.repeat(np.append(ends, len(whole)), np.append(lengths + 1, 1)) - length
-        seen &= room
-        seen[starts[n] if n < len(starts) else len(whole) :] = False  # second copies say the same
+        seen &= np.arange(len(whole)) <= np.repeat(np.append(ends, 0), np.append(lengths + 1, 1)) - length
         edge = np.flatnonzero(np.diff(np.concatenate(([False], seen, [False])).astype(np.int8)))
         first, last = edge[::2], edge[1::2] - 1
-        segment = np.searchsorted(starts[:n], first, "right") - 1
+        starts = ends - lengths
+        segment = np.searchsorted(starts, first, "right") - 1
         keys, contents = np.concatenate(keys), np.concatenate(contents)
         for i in range(0, len(first), 50_000):
             s = segment[i : i + 50_000]
@@ -193,22 +190,34 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("t"), text_of(text_col).alias("text")).where(F.octet_length("text") >= length)
     found = materialize(segment_table(texts, length), "segments")
     again = materialize(found.groupBy("key").agg(F.sum("anchors").alias("n")).where("n > 1").select("key"), "repeated-keys")
-    live = materialize(found.join(again, "key"), "live-segments")
+    keyed = materialize(found.join(again, "key"), "keyed-segments")
+    discard(found, again)
+    tidy(spark)
+    repeated = {s: materialize(keyed.where(f"{s} != 0").groupBy("key", s).count().where("count > 1").select("key", s, F.lit(True).alias(f"{s}_again")), f"repeated-{s}") for s in ("left", "right")}
+    live = keyed.join(repeated["left"], ["key", "left"], "left").join(repeated["right"], ["key", "right"], "left")
+    live = materialize(live.where("anchors > 1 OR left_again OR right_again").select("id", "t", "at", "windows", "key", "content"), "live-segments")
+    discard(keyed, *repeated.values())
     tidy(spark)
     kinds = live.groupBy("key", "content", "windows").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "t", "at")).alias("place"))
     kinds = materialize(kinds.select("key", "content", "windows", F.least("n", F.lit(2)).cast("int").alias("copies"), F.col("place.id").alias("id"), F.col("place.t").alias("t"), F.col("place.at").alias("at")), "kinds")
-    total = kinds.agg(F.coalesce(F.sum((F.col("windows") + length) * F.col("copies")), F.lit(0))).first()[0]
+    total = kinds.agg(F.coalesce(F.sum(F.col("windows") + length), F.lit(0))).first()[0]
     listed = kinds.groupBy("id", "t").agg(F.collect_list(F.struct("at", (F.col("windows") + (length - 1)).alias("size"), "key", "content", "copies")).alias("listed"))
     listed = materialize(listed, "listed")
+    discard(kinds)
+    tidy(spark)
     few = listed.withColumnsRenamed({"id": "i", "t": "u"})
     some = with_ids(texts, few.select(F.col("u").alias("t")).distinct(), "left_semi", "t")  # a row that repeats id and text is cut again, to the same segments
     cut = some.join(few, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("text", "listed").mapInArrow(cut_segments, "key bigint, content bigint, copies int, bytes binary")
     shards = max(1, -(-int(total) // shard_bytes))
     repeats = cut.repartition(shards, "key").mapInArrow(repeated_windows(length), "key bigint, content bigint, first bigint, last bigint")
     repeats = materialize(repeats.distinct(), "repeats")
+    discard(listed)
     tidy(spark)
     spans = live.join(repeats, ["key", "content"]).select("id", "t", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last") + length).alias("last"))
-    return materialize(spans.groupBy("id", "t").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
+    spans = materialize(spans.groupBy("id", "t").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
+    discard(live, repeats)
+    tidy(spark)
+    return spans
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:

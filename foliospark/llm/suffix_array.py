@@ -108,7 +108,7 @@ class _Text:
         self.run = on_disk(np.minimum(ends - np.arange(n) + 1, cap).astype(np.uint8))
         self.text = on_disk(text)
         star = np.flatnonzero(self.s[1:] & ~self.s[:-1]) + 1
-        self.star = star
+        self.star = star.astype(np.int32 if n < 1 << 31 else np.int64)
 
 
 def _scan(t: _Text, batch: Iterator, here: int, falling: bool, carry: np.ndarray, seen: np.ndarray, push: Callable, keep: Callable, last: int | None) -> int | None:
@@ -189,7 +189,7 @@ def _induce(t: _Text, star: np.ndarray, star_prefix: np.ndarray, emit: Callable[
         np.minimum(carry, 0, out=carry)
         chunks: list[tuple[np.ndarray, np.ndarray]] = []
         if c == 0:
-            emit(np.array([t.n - 1]), np.array([0], np.uint8))
+            emit(np.array([t.n - 1], t.star.dtype), np.array([0], np.uint8))
             continue
         keep = lambda p, v: chunks.append((p, v))  # noqa: E731, B023
         last = _scan(t, queue.pop(c), c, True, carry, seen, queue.push, keep, None)
