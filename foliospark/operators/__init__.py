@@ -1 +1 @@
-
+"""Operators over source objects, pages and elements."""

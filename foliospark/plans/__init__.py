@@ -1 +1 @@
-
+"""Queries over the operators, and their SQL."""

@@ -1 +1 @@
-
+"""Producers of source objects."""
