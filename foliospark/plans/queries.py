@@ -88,8 +88,12 @@ def elements(objects: DataFrame, pages: DataFrame) -> DataFrame:
     return assembly.ordered(assembly.classified(objects, pages))
 
 
+def level_or_zero(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("level", F.coalesce("level", F.lit(0)))
+
+
 def block_classify(objects: DataFrame, pages: DataFrame) -> DataFrame:
-    return assembly.classified(objects, pages).select("doc_id", "page", "obj_id", "type", "level")
+    return level_or_zero(assembly.classified(objects, pages).select("doc_id", "page", "obj_id", "type", "level"))
 
 
 def parents(objects: DataFrame, pages: DataFrame) -> DataFrame:
@@ -114,11 +118,13 @@ def caption_targets(objects: DataFrame) -> DataFrame:
 
 
 def list_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of orders as list items: successive line numbers are one list, an order is a document."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        c("l_orderkey").alias("doc_id"), F.concat(F.lit("i"), c("l_linenumber").cast("string")).alias("item_id"), F.lit(1).alias("page"), c("l_linenumber").alias("ord"), F.lit(None).cast("string").alias("parent_id"),
-        F.when(c("l_returnflag") == "R", "-").otherwise(F.concat(c("l_linenumber").cast("string"), F.lit("."))).alias("marker"),
-        (100 + 20 * c("l_linenumber")).cast("double").alias("y0"), (110 + 20 * c("l_linenumber")).cast("double").alias("y1"), F.when(c("l_linestatus") == "F", 10.0).otherwise(3.0).alias("size"),
+    """Lines of orders as list items: successive numbers are one list, an order is a document."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("nth", F.row_number().over(typeset.line_order()))
+    number = c("nth").cast("string")
+    items = lines.select(
+        c("l_orderkey").alias("doc_id"), F.concat(F.lit("i"), number).alias("item_id"), F.lit(1).alias("page"), c("nth").alias("ord"), F.lit(None).cast("string").alias("parent_id"),
+        F.when(c("l_returnflag") == "R", "-").otherwise(F.concat(number, F.lit("."))).alias("marker"),
+        (100 + 20 * c("nth")).cast("double").alias("y0"), (110 + 20 * c("nth")).cast("double").alias("y1"), F.when(c("l_linestatus") == "F", 10.0).otherwise(3.0).alias("size"),
     )
     return assembly.list_containers(items)
 
@@ -210,7 +216,7 @@ def queries() -> dict[str, Query]:
         "heading_markers": on_objects(heading_markers),
         "local_page_numbers": on_pages(probes.local_page_numbers),
         "thin_rules": on_objects(probes.thin_rules),
-        "text_profile": on_objects(probes.text_profile),
+        "text_profile": on_objects(lambda o: level_or_zero(probes.text_profile(o))),
         "dominant_style": on_objects(probes.dominant_style),
         "language_profile": on_objects(probes.language_profile),
         "codepoint_rates": on_objects(codepoint_rates),
@@ -228,7 +234,7 @@ def queries() -> dict[str, Query]:
         "furniture_modes": on_pages(furniture.modes),
         "continuations": on_pages(furniture.continuations),
         "block_classify": on_pages(block_classify),
-        "heading_parents": on_pages(parents),
+        "heading_parents": on_pages(lambda o, p: level_or_zero(parents(o, p))),
         "heading_jumps": on_pages(heading_jumps),
         "parent_cycles": on_pages(parent_cycles),
         "markdown_document": on_pages(markdown_document),

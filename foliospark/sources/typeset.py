@@ -86,12 +86,17 @@ def pages(docs: DataFrame) -> DataFrame:
     return lines(docs).groupBy("doc_id", "source", (F.floor(F.col("k") / LINES) + 1).cast("int").alias("page")).agg(F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.lit(0).alias("rotation"))
 
 
+def line_order():
+    """Lines of an order by number; numbers can repeat, so the other values decide then."""
+    return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+
 COLUMN_NAMES = ("part", "supp", "qty", "price", "flag")
 
 
 def table_cells(lineitem: DataFrame) -> DataFrame:
     """order_id, r, c, text, x0, y0, x1, y1 of the text of each cell; row 0 has the column names."""
-    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    nth = F.row_number().over(line_order())
     values = F.array(*[F.col(x).cast("string") for x in ("l_partkey", "l_suppkey")], F.col("l_quantity").cast("bigint").cast("string"), F.col("l_extendedprice").cast("bigint").cast("string"), F.col("l_returnflag"))
     body = lineitem.withColumn("r", nth).select(F.col("l_orderkey").alias("order_id"), "r", F.posexplode(values).alias("c", "text"))
     head = lineitem.select(F.col("l_orderkey").alias("order_id")).distinct().select("order_id", F.lit(0).alias("r"), F.posexplode(F.array(*map(F.lit, COLUMN_NAMES))).alias("c", "text"))
