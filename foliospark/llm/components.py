@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -25,11 +25,18 @@ def connected_components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         while True:  # follow hooks to their ends; each step doubles the distance
             ends = hooks.alias("h").join(hooks.select(F.col("a").alias("x"), F.col("to").alias("beyond")), F.col("to") == F.col("x"), "left")
             ends = materialize(ends.select("a", F.coalesce("beyond", "to").alias("to"), F.col("beyond").isNotNull().alias("moved")), "hooks")
-            hooks = ends.select("a", "to")
+            discard(hooks)
+            hooks = ends
             if ends.where("moved").isEmpty():
                 break
-        labels = materialize(labels.join(hooks, F.col("label") == F.col("a"), "left").select("v", F.coalesce("to", "label").alias("label")), "labels")
+            hooks = materialize(ends.select("a", "to"), "hooks")
+            discard(ends)
+        relabelled = materialize(labels.join(hooks, F.col("label") == F.col("a"), "left").select("v", F.coalesce("to", "label").alias("label")), "labels")
+        discard(labels)
+        labels = relabelled
         side = lambda frame, c: frame.join(hooks.select(F.col("a").alias("x"), "to"), F.col(c) == F.col("x"), "left").withColumn(c, F.coalesce("to", c)).drop("x", "to")
-        live = side(side(live, "a"), "b").where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        live = materialize(live, "live-links")
+        rest = side(side(live, "a"), "b").where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        rest = materialize(rest, "live-links")
+        discard(live, hooks)
+        live = rest
     return labels

@@ -1,10 +1,11 @@
 """Exact Jaccard self-join on word 5-gram sets with a vertically partitioned global n-gram order.
 
-Order. One pass counts hashed n-grams in ``2 ** BUCKET_BITS`` buckets. The global order is (size class of the bucket's
-count, hash): rare n-grams first, the same everywhere. It is cut into ``FRAGMENTS`` ranges of equal load.
+Order. One pass counts hashed n-grams in up to ``2 ** MOST_BUCKET_BITS`` buckets, about one for each n-gram of a small
+corpus. The global order is (size class of the bucket's count, hash): rare n-grams first, the same everywhere. It is
+cut into ``FRAGMENTS`` ranges of equal load.
 
-Candidates. Two sets of similarity 0.8 share an n-gram among the first n - ceil(0.8 n) + 1 of either, and so many of them
-that the rest of the sets can make up the required overlap. Only n-grams that occur in two such prefixes are kept.
+Candidates. Two sets of similarity 0.8 share an n-gram among the first n - ceil(0.8 n) + 1 of either; two sets of given
+sizes that need an overlap of o share one among the first n - o + 1. Only n-grams in two such prefixes are kept.
 
 Links. Groups of near copies are not expanded into pairs. In rounds, every set is compared with the leader it shares most
 prefix n-grams with; sets that get linked are one class, and only n-grams still shared by different classes live on. When the
@@ -28,17 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, text_blocks, text_of, union_all
+from .common import discard, fresh, materialize, text_blocks, text_of, union_all
 from .components import connected_components
 from .hashing import mix, prefix_hash, span_hash
 
 N = 5
-BUCKET_BITS, CHUNK_BITS = 21, 14
-FRAGMENTS = 4
+LEAST_BUCKET_BITS, MOST_BUCKET_BITS, CHUNK_BITS = 16, 24, 16
+FRAGMENTS = 3
 BLOCK_BYTES = 1_500_000
 #: Ids in a broadcast set; more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 ROUNDS = 8
+#: Pairs left, for each posting, at which they are compared one by one.
+PAIRS_A_ROW = 3
 TOKEN_BYTES = 5
 
 #: White space of the word pattern, A-Z to a-z.
@@ -84,69 +87,106 @@ def blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield i, j, *shingles(data, at)
 
 
-def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Counts:
+    """Counts of hashed n-grams, a byte each; a task's count of a bucket stops at 255."""
+
+    def __init__(self, bits: int):
+        self.bits, self.counts, self.waiting, self.held = bits, np.zeros(1 << bits, np.uint8), [], 0
+
+    def add(self, h: np.ndarray) -> None:
+        self.waiting.append((h >> np.uint64(64 - self.bits)).astype(np.uint32))
+        self.held += len(h)
+        if self.held > 3_000_000:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.waiting:
+            bucket = np.sort(np.concatenate(self.waiting))
+            head = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            times = np.diff(np.append(head, len(bucket)))
+            at = bucket[head]
+            self.counts[at] = np.minimum(self.counts[at] + times, 255)
+            self.waiting, self.held = [], 0
+
+    def chunks(self) -> list[tuple[int, bytes]]:
+        self.flush()
+        return [(c, part.tobytes()) for c, part in enumerate(self.counts.reshape(-1, 1 << CHUNK_BITS)) if part.any()]
+
+
+def profile(bits: int):
     """Set size and signature of each text, then the task's n-gram counts by chunk of buckets."""
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    names = ["id", "n", "s1", "s2", "chunk", "at", "counts"]
-    empty = lambda kind, n: pa.nulls(n, kind)
-    kind = pa.int64()
-    for batch in batches:
-        kind = batch.column(0).type
-        size, one, two = (np.zeros(batch.num_rows, t) for t in (np.int64, np.uint64, np.uint64))
-        for i, j, d, h in blocks(batch):
-            counts += np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
-            n = np.bincount(d, minlength=j - i)
-            size[i:j] = n
-            full = n > 0
-            begin = (np.cumsum(n) - n)[full]
-            if full.any():
-                one[i:j][full] = np.add.reduceat(mix(h + np.uint64(1)), begin)
-                two[i:j][full] = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begin)
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), empty(pa.int32(), n), empty(pa.binary(), n), empty(pa.binary(), n)], names=names)
-    rows = [(c, *packed(part)) for c, part in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)) if part.any()]
-    n = len(rows)
-    yield pa.RecordBatch.from_arrays([empty(kind, n), *[empty(pa.int64(), n)] * 3, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=names)
-
-
-def packed(counts: np.ndarray) -> tuple[bytes, bytes]:
-    at = np.flatnonzero(counts)
-    return at.astype(np.uint16).tobytes(), counts[at].astype(np.int64).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(bits)
+        names = ["id", "n", "s1", "s2", "chunk", "counts"]
+        kind = pa.int64()
+        for batch in batches:
+            kind = batch.column(0).type
+            size, one, two = (np.zeros(batch.num_rows, t) for t in (np.int64, np.uint64, np.uint64))
+            for i, j, d, h in blocks(batch):
+                counts.add(h)
+                n = np.bincount(d, minlength=j - i)
+                size[i:j] = n
+                full = n > 0
+                begin = (np.cumsum(n) - n)[full]
+                if full.any():
+                    one[i:j][full] = np.add.reduceat(mix(h + np.uint64(1)), begin)
+                    two[i:j][full] = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begin)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        rows = counts.chunks()
+        for k in range(0, len(rows), 32):
+            some = rows[k : k + 32]
+            n = len(some)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), *[pa.nulls(n, pa.int64())] * 3, pa.array([c for c, _ in some], pa.int32()), pa.array([b for _, b in some], pa.binary())], names=names)
+
+    return run
 
 
 def add_counts(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sum of a chunk's counts, four bytes each; the parts have one or four."""
     total = np.zeros(1 << CHUNK_BITS, np.int64)
-    for at, counts in zip(rows["at"], rows["counts"], strict=True):
-        total[np.frombuffer(at, np.uint16)] += np.frombuffer(counts, np.int64)
-    at, counts = packed(total)
-    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "at": [at], "counts": [counts]})
+    for counts in rows["counts"]:
+        total += np.frombuffer(counts, np.uint8 if len(counts) == 1 << CHUNK_BITS else np.uint32)
+    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+
+
+def to_classes(rows: pd.DataFrame) -> pd.DataFrame:
+    counts = np.frombuffer(add_counts(rows)["counts"][0], np.uint32).astype(np.int64)
+    size_class = np.log2(counts + 1).astype(np.uint8)
+    load = np.bincount(size_class, counts, 64).astype(np.int64)
+    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "counts": [size_class.tobytes()], "load": [load.tobytes()]})
 
 
 @dataclass
 class Order:
-    """Size class and fragment of each bucket: two bytes a bucket, whatever the input."""
+    """Size class of each bucket, a byte each, and how many n-grams each class holds."""
 
     size_class: np.ndarray
-    fragment: np.ndarray
+    load: np.ndarray
 
-    @staticmethod
-    def of(counts: np.ndarray) -> Order:
-        size_class = np.log2(counts + 1).astype(np.uint8)
-        by = np.argsort(size_class, kind="stable")
-        load = np.cumsum(counts[by])
-        fragment = np.zeros(len(counts), np.uint8)
-        fragment[by] = np.minimum(FRAGMENTS - 1, (load - counts[by]) * FRAGMENTS // max(1, int(load[-1])))
-        return Order(size_class, fragment)
+    def bucket(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - (len(self.size_class).bit_length() - 1))).astype(np.int64)
 
+    def classes(self, h: np.ndarray) -> np.ndarray:
+        return self.size_class[self.bucket(h)]
 
-def counted_order(chunks: DataFrame) -> Order:
+    def fragment(self, h: np.ndarray) -> np.ndarray:
+        """Range of the global order; the place inside a class goes by the hash."""
+        before = np.concatenate(([0], np.cumsum(self.load)[:-1])).astype(np.float64)
+        c = self.classes(h)
+        place = before[c] + self.load[c] * ((h >> np.uint64(40)).astype(np.float64) / (1 << 24))
+        return np.minimum(FRAGMENTS - 1, (place * FRAGMENTS / max(1, self.load.sum())).astype(np.int64))
+
+
+def counted_order(chunks: DataFrame, bits: int) -> Order:
     """Counts are added in two levels, so that no task gathers the parts of all others."""
-    schema = "chunk int, at binary, counts binary"
-    some = chunks.withColumn("salt", F.pmod(F.xxhash64("at", "counts"), F.lit(32))).groupBy("chunk", "salt").applyInPandas(add_counts, schema)
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    for chunk, at, part in some.groupBy("chunk").applyInPandas(add_counts, schema).collect():
-        counts[(chunk << CHUNK_BITS) + np.frombuffer(at, np.uint16).astype(np.int64)] = np.frombuffer(part, np.int64)
-    return Order.of(counts)
+    some = chunks.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16))).groupBy("chunk", "salt").applyInPandas(add_counts, "chunk int, counts binary")
+    size_class, load = np.zeros(1 << bits, np.uint8), np.zeros(64, np.int64)
+    for chunk, part, own in some.groupBy("chunk").applyInPandas(to_classes, "chunk int, counts binary, load binary").collect():
+        size_class[chunk << CHUNK_BITS : (chunk + 1) << CHUNK_BITS] = np.frombuffer(part, np.uint8)
+        load += np.frombuffer(own, np.int64)
+    return Order(size_class, load)
 
 
 def required(n):
@@ -157,16 +197,16 @@ def required(n):
 def _blocks_in_order(batch: pa.RecordBatch, order: Order) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     """Ids, set sizes, document numbers and n-grams in the global order, of each block of (id, text)."""
     for i, j, d, h in blocks(batch):
-        by = np.argsort(d * 64 + order.size_class[bucket_of(h)], kind="stable")  # by class, then hash, in each document
+        by = np.argsort(d * 64 + order.classes(h), kind="stable")  # by class, then hash, in each document
         yield batch.column(0).slice(i, j - i), np.bincount(d, minlength=j - i), d[by], h[by]
 
 
-def bucket_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def required_sql(n: str):
+    return F.floor((80 * F.col(n) + 99) / 100)
 
 
 def prefixes(texts: DataFrame, order: Order) -> DataFrame:
-    """id, n, prefix array<bigint> of each text (id, text) that has n-grams: the first of them in the global order."""
+    """id, n, prefix array<bigint> (in order) of each text (id, text) that has n-grams: the first of them in the global order."""
     shared = texts.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +228,7 @@ def fragment_parts(texts: DataFrame, order: Order) -> DataFrame:
         for batch in batches:
             for ids, n, d, h in _blocks_in_order(batch, shared.value):
                 # fragments are ranges of the order, so they follow one another
-                sizes = np.bincount(d * FRAGMENTS + shared.value.fragment[bucket_of(h)], minlength=len(n) * FRAGMENTS)
+                sizes = np.bincount(d * FRAGMENTS + shared.value.fragment(h), minlength=len(n) * FRAGMENTS)
                 low = np.ascontiguousarray(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES])
                 ends = np.concatenate(([0], np.cumsum(sizes) * TOKEN_BYTES)).astype(np.int32)
                 parts = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(low.tobytes())])
@@ -234,16 +274,19 @@ def linked(pairs: DataFrame, texts: DataFrame, order: Order) -> DataFrame:
     """
     pairs = materialize(pairs, "pairs")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    parts = materialize(fragment_parts(with_ids(texts, wanted, "left_semi"), order).select("id", F.posexplode("parts").alias("fragment", "part")), "parts")
+    parts = materialize(fragment_parts(with_ids(texts, wanted, "left_semi"), order), "parts")
     met = (
-        pairs.join(parts.select(F.col("id").alias("a"), "fragment", F.col("part").alias("x")), "a")
-        .join(parts.select(F.col("id").alias("b"), "fragment", F.col("part").alias("y")), ["b", "fragment"])
+        pairs.join(parts.withColumnRenamed("id", "a"), "a")
+        .select("a", "b", "na", "nb", F.posexplode("parts").alias("fragment", "x"))
+        .join(parts.select(F.col("id").alias("b"), F.posexplode("parts").alias("fragment", "y")), ["b", "fragment"])
         .select("a", "b", "na", "nb", "x", "y")
     )
     kind = met.schema["a"].dataType.simpleString()
     partial = met.mapInArrow(count_overlaps, f"a {kind}, b {kind}, na bigint, nb bigint, overlap bigint")
     summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    return summed.where("100 * overlap >= 80 * (na + nb - overlap)").select("a", "b")
+    found = materialize(summed.where("100 * overlap >= 80 * (na + nb - overlap)").select("a", "b"), "new-links")
+    discard(pairs, wanted, parts)
+    return found
 
 
 def tidy(spark: SparkSession) -> None:
@@ -258,44 +301,64 @@ def enough(count: str) -> str:
     return f"180 * ({count} + {rest}) >= 80 * (na + nb)"
 
 
+#: SQL: both places of the n-gram are early enough to be the first common one of sets that link.
+EARLY = "ia + floor((80 * (na + nb) + 179) / 180) <= na AND ib + floor((80 * (na + nb) + 179) / 180) <= nb"
 SIZES_FIT = "100 * least(na, nb) >= 80 * greatest(na, nb)"
 
 
 def find_links(sets: DataFrame, texts: DataFrame, order: Order) -> list[DataFrame]:
-    """Tables of links (a, b) that join every two sets of similarity 0.8 or more in one component."""
+    """Tables of links (a, b) that join every two sets of similarity 0.8 or more in one component.
+
+    A posting's leader is the member whose prefix is shared to the largest part: in a group of near copies it is a text
+    with few changes, which most others link with. Ties, and from the second round on near ties, go by a hash of the round.
+    """
     spark = sets.sparkSession
-    postings = sets.select("id", "n", F.explode("prefix").alias("token"))
+    postings = sets.select("id", "n", F.posexplode("prefix").alias("place", "token"))
     shared = postings.groupBy("token").count().where("count > 1").select("token")
-    members = materialize(postings.join(shared, "token").withColumn("label", F.col("id")), "members")
+    known = materialize(postings.join(shared, "token").withColumn("label", F.col("id")), "members")
     tidy(spark)
+    share = F.count(F.lit(1)) / F.max(F.col("n") - required_sql("n") + 1)
+    members = materialize(known.join(known.groupBy("id").agg(share.alias("share")), "id"), "members")
+    discard(known)
     out: list[DataFrame] = []
+    before = float("inf")
     for turn in range(ROUNDS + 1):
-        lead = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "n", "label"))
+        central = F.col("share") if turn == 0 else F.floor(F.col("share") * 8)
+        lead = F.max(F.struct(central.alias("c"), F.xxhash64(F.lit(turn), "id").alias("h"), "id", "n", "label"))
         mixed = materialize(members.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), lead.alias("lead")).where("lo != hi").select("token", "lead"), "mixed")
-        members = materialize(members.join(mixed, "token"), "members")
+        still = materialize(members.join(mixed, "token"), "members")
+        discard(members, mixed)
+        members = still
         of_class = members.groupBy("token", "label").count()
         rows, left = of_class.groupBy("token").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q")).agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
         if not rows:
             return out
-        if left <= 2 * rows or turn == ROUNDS:
+        if left <= PAIRS_A_ROW * rows or left > 0.9 * before or turn == ROUNDS:
             break
+        before = left
         tried = members.where("label != lead.label").select(F.col("id").alias("a"), F.col("lead.id").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb")).where(SIZES_FIT)
         # a leader leads only some of the n-grams that a pair shares; half of those needed are a good sign
         best = tried.groupBy("a", "b", "na", "nb").count().where(enough("2 * count")).groupBy("a", "na").agg(F.max(F.struct("count", "b", "nb")).alias("top")).select("a", F.col("top.b").alias("b"), "na", F.col("top.nb").alias("nb"))
-        new = materialize(linked(best, texts, order), "new-links")
+        new = linked(best, texts, order)
         tidy(spark)
         if new.isEmpty():
             break
         out.append(new)
         labels = materialize(members.select("id", "label").distinct(), "member-labels")
-        side = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
+        side = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))  # noqa: E731, B023
         roots = connected_components(new.join(side("a"), "a").join(side("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        members = materialize(members.join(roots.select(F.col("v").alias("label"), F.col("label").alias("root")), "label", "left").select("token", "id", "n", F.coalesce("root", "label").alias("label")), "members")
+        relabelled = members.join(roots.select(F.col("v").alias("label"), F.col("label").alias("root")), "label", "left").select("token", "id", "n", "place", "share", F.coalesce("root", "label").alias("label"))
+        relabelled = materialize(relabelled, "members")
+        discard(members, labels, roots)
+        members = relabelled
         tidy(spark)
-    one, two = (members.select("token", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("label").alias(f"l{k}")) for k in "ab")
-    met = one.join(two, "token").where("a < b AND la != lb").where(SIZES_FIT).groupBy("a", "b", "na", "nb").count()
-    met = met.where(enough("count")).drop("count")
-    out.append(materialize(linked(met, texts, order), "new-links"))
+    one, two = (members.select("token", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("place").alias(f"i{k}"), F.col("label").alias(f"l{k}")) for k in "ab")
+    met = one.join(two, "token").where("a < b AND la != lb").where(SIZES_FIT).where(EARLY).select("a", "b", "na", "nb").distinct()
+    # n-grams of one class only are none that two classes share, so the members left have all that a pair shares in its prefixes
+    held = materialize(members.groupBy("id").agg(F.collect_set("token").alias("tokens")), "held")
+    both = met.join(held.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(held.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    out.append(linked(both.where(enough("size(array_intersect(ta, tb))")).select("a", "b", "na", "nb"), texts, order))
+    discard(members, held)
     return out
 
 
@@ -310,15 +373,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = materialize(texts.mapInArrow(profile, f"id {kind}, n bigint, s1 bigint, s2 bigint, chunk int, at binary, counts binary"), "profile")
-    order = counted_order(rows.where("chunk IS NOT NULL").select("chunk", "at", "counts"))
+    bytes_ = docs.select(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    bits = min(MOST_BUCKET_BITS, max(LEAST_BUCKET_BITS, int(bytes_ // 6).bit_length()))  # a word has some six bytes
+    rows = materialize(texts.mapInArrow(profile(bits), f"id {kind}, n bigint, s1 bigint, s2 bigint, chunk int, counts binary"), "profile")
+    order = counted_order(rows.where("chunk IS NOT NULL").select("chunk", "counts"), bits)
     sizes = rows.where("chunk IS NULL").select("id", "n", "s1", "s2")
     known = sizes.where("id IS NOT NULL AND n > 0")
     groups = materialize(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("count")).where("count > 1").drop("count"), "equal-sets")
     same = materialize(known.join(groups, ["n", "s1", "s2"]).where("id != b").select(F.col("id").alias("a"), "b"), "equal-links")
     texts = texts.where("id IS NOT NULL")
     sets = materialize(prefixes(with_ids(texts, same.select(F.col("a").alias("id")).distinct(), "left_anti"), order), "sets")
-    labels = connected_components(union_all([same, *find_links(sets, texts, order)]))
+    links = find_links(sets, texts, order)
+    discard(sets)
+    labels = connected_components(union_all([same, *links]))
+    discard(groups, same, *links)
     tidy(spark)
     return sizes.join(labels, F.col("id") == F.col("v"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
 
