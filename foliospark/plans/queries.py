@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
-from ..operators import assembly, furniture, probes, tables
+from ..operators import assembly, furniture, layout, probes, tables
 from ..sources import typeset
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,12 @@ def heading_markers(objects: DataFrame) -> DataFrame:
     return objects.where("kind = 'text'").where(X.is_heading_text(t) | X.is_numeric_heading(t)).select("doc_id", "obj_id", X.heading_level(t, F.lit(None).cast("int")).alias("level"))
 
 
+def text_blocks(objects: DataFrame, pages: DataFrame) -> DataFrame:
+    """Blocks in reading order; greedy, hence without SQL and tested on hand-made pages."""
+    sized = probes.columns(objects, pages).join(pages.select("doc_id", "page", "width"), ["doc_id", "page"])
+    return layout.text_blocks(objects, sized).withColumn("obj_ids", F.array_join("obj_ids", ","))
+
+
 def codepoint_rates(objects: DataFrame) -> DataFrame:
     return probes.text_layer(objects).select("doc_id", "page", "chars", "replacement", "cid", "suspicious")
 
@@ -257,4 +263,5 @@ def queries() -> dict[str, Query]:
         "table_tiling": on_lines(lambda t: tables.tiling(spans(t))),
         "markdown_table": on_lines(lambda t: tables.markdown(typeset.table_cells(t))),
         "cross_page_tables": cross_page_tables,
+        "text_blocks": on_pages(text_blocks),
     }
