@@ -24,11 +24,12 @@ def lanes(objects: DataFrame, pages: DataFrame, n_columns: int) -> DataFrame:
     return objects.where(X.has_ink()).join(pages.select("doc_id", "page", "width"), ["doc_id", "page"]).select("doc_id", "page", "obj_id", F.when(spans, -1).otherwise(lane).alias("lane"))
 
 
-def classified(objects: DataFrame, pages: DataFrame) -> DataFrame:
+def classified(objects: DataFrame, pages: DataFrame, keep_furniture: bool = False) -> DataFrame:
     """Type, level and engine of each body run taken as a block of one line, in the order of the cascade."""
     text = X.trimmed(c("text"))
     rank = probes.text_profile(objects).where("level IS NOT NULL").select("doc_id", c("bucket"), c("level").alias("ranked"))
-    runs = furniture.body_objects(objects, pages).where("kind = 'text'").where(X.visible_length(c("text")) > 0)
+    body = objects if keep_furniture else furniture.body_objects(objects, pages)
+    runs = body.where("kind = 'text'").where(X.visible_length(c("text")) > 0)
     runs = runs.withColumn("bucket", X.font_bucket(c("size"))).join(rank, ["doc_id", "bucket"], "left").join(pages.select("doc_id", "page", "width"), ["doc_id", "page"])
     latin = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"(\p{IsLatin}+)"), F.lit(1)), lambda r: F.length(r))), F.lit(0))
     by_rank = c("ranked").isNotNull() & (X.visible_length(text) <= P.HEADING_MAX) & ~text.rlike(P.HEADING_TAIL)
