@@ -92,6 +92,36 @@ def stable_ids(drafts: DataFrame, prefix: str = "e") -> DataFrame:
     return based.select("doc_id", "page", F.when(many, F.concat("base", F.lit("_"), nth.cast("string"))).otherwise(c("base")).alias("element_id"), F.array_join("ids", ",").alias("ids"))
 
 
+def region_ids(members: DataFrame) -> DataFrame:
+    """region_first or region_first_last, in member order: ``members`` has doc_id, page, region, pos, obj_id."""
+    first, last = F.min_by("obj_id", "pos"), F.max_by("obj_id", "pos")
+    named = F.when(F.count(F.lit(1)) == 1, F.concat(F.lit("region_"), first)).otherwise(F.concat(F.lit("region_"), first, F.lit("_"), last))
+    return members.groupBy("doc_id", "page", "region").agg(named.alias("region_id"), F.count(F.lit(1)).alias("n"))
+
+
+def furniture_regions(objects: DataFrame, pages: DataFrame) -> DataFrame:
+    """One region for each furniture member: clusters first, then page numbers that a page shows by itself."""
+    across = furniture.members(objects, pages)
+    local = probes.local_page_numbers(objects, pages).join(across.select("doc_id", "obj_id"), ["doc_id", "obj_id"], "left_anti")
+    region = F.concat(F.lit("region_"), c("obj_id")).alias("region_id")
+    one = across.select("doc_id", "page", region, "type", F.lit("l2-cross-page-furniture-v1").alias("engine"))
+    return one.unionByName(local.select("doc_id", "page", region, F.lit("page_number").alias("type"), F.lit("local-page-number-v1").alias("engine")))
+
+
+def accepted_pages(sizes: DataFrame, most: int) -> DataFrame:
+    """Pages in order whose objects fit the total so far; a page over the limit is refused and not counted.
+
+    ``sizes``: doc_id, page, n. The state is a running total, so pages of a document are folded in order.
+    """
+    step = lambda s, p: F.struct(
+        (s["total"] + F.when(s["total"] + p["n"] <= most, p["n"]).otherwise(0)).alias("total"),
+        F.concat(s["out"], F.array(F.struct(p["page"].alias("page"), (s["total"] + p["n"] <= most).alias("accepted")))).alias("out"),
+    )
+    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<struct<page:int,accepted:boolean>>").alias("out"))
+    folded = sizes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", c("n").cast("bigint").alias("n")))).alias("ps")).select("doc_id", F.aggregate("ps", start, step, lambda s: s["out"]).alias("out"))
+    return folded.select("doc_id", F.explode("out").alias("o")).select("doc_id", "o.page", "o.accepted")
+
+
 def caption_targets(captions: DataFrame, figures: DataFrame) -> DataFrame:
     """Nearest figure above each caption that overlaps it enough sideways: smallest gap, then the later figure."""
     f = figures.select("doc_id", "page", c("obj_id").alias("figure_id"), *[c(k).alias(f"f{k}") for k in ("x0", "y0", "x1", "y1")])

@@ -67,6 +67,20 @@ def header_rows(cells: DataFrame, key: str = "order_id") -> DataFrame:
     return like.select(key, "r", "header_like", lead.alias("leading"))
 
 
+def roles(cells: DataFrame, key: str = "order_id") -> DataFrame:
+    """Role of each cell: column header in leading header rows, section header in later ones, row header in the first column."""
+    joined = cells.join(header_rows(cells, key), [key, "r"])
+    role = F.when(c("leading"), "column_header").when(c("header_like"), "section_header").when(c("c") < 1, "row_header").otherwise("data")
+    return joined.select(key, "r", "c", role.alias("role"), (role != "data").alias("is_header"))
+
+
+def without_overlap(candidates: DataFrame, taken: DataFrame, key: str = "key") -> DataFrame:
+    """Candidate boxes that overlap none of the taken boxes of their key (ruled tables win over borderless ones)."""
+    t = taken.select(c(key).alias("k"), *[c(n).alias(f"t{n}") for n in ("x0", "y0", "x1", "y1")])
+    meets = (c(key) == c("k")) & (c("x0") < c("tx1")) & (c("x1") > c("tx0")) & (c("y0") < c("ty1")) & (c("y1") > c("ty0"))
+    return candidates.join(t, meets, "left_anti")
+
+
 def tiling(cells: DataFrame, key: str = "order_id") -> DataFrame:
     """Cells of a table that are covered not exactly once; spans are r, c, row_span, col_span."""
     size = cells.groupBy(key).agg(F.max(c("r") + c("row_span")).alias("rows"), F.max(c("c") + c("col_span")).alias("cols"))

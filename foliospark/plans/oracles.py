@@ -271,4 +271,23 @@ l AS (SELECT *, coalesce(hr > 0 AND lag(hr) OVER w = hr AND lag(header) OVER w =
 k AS (SELECT *, coalesce(fits AND (hr = 0 OR same), false) AS linked FROM l), d AS (SELECT *, CASE WHEN linked AND same THEN hr ELSE 0 END AS dropped FROM k),
 c AS (SELECT *, sum((NOT linked)::INT) OVER (PARTITION BY key ORDER BY page) AS chain FROM d)
 SELECT key, page, CAST(chain AS BIGINT) AS chain, CAST(dropped AS INTEGER) AS dropped, CAST(coalesce(sum(rows_ - dropped) OVER (PARTITION BY key, chain ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - dropped AS BIGINT) AS row_offset FROM c""",
+        "table_roles": TABLES + r""", f AS (SELECT order_id, r, c, regexp_matches(text, '^[-+（(]?[0-9,.]+%?[）)]?$')::INT AS num FROM cell),
+row_ AS (SELECT order_id, r, 1 - avg(num) AS words, avg(num) FILTER (c > 0) AS numbers FROM f GROUP BY ALL),
+hl AS (SELECT order_id, r, words >= 0.6 AND coalesce(lead(numbers) OVER (PARTITION BY order_id ORDER BY r), 0) >= 0.6 AS header_like FROM row_),
+ld AS (SELECT *, sum((NOT header_like)::INT) OVER (PARTITION BY order_id ORDER BY r) = 0 AS leads FROM hl),
+ro AS (SELECT order_id, r, c, CASE WHEN leads THEN 'column_header' WHEN header_like THEN 'section_header' WHEN c = 0 THEN 'row_header' ELSE 'data' END AS role FROM cell JOIN ld USING (order_id, r))
+SELECT *, role != 'data' AS is_header FROM ro""",
+        "borderless_vs_ruled": """
+WITH box AS (SELECT o_custkey AS key, o_orderkey AS box, o_orderstatus AS st, CAST(o_orderkey * 37 % 700 AS DOUBLE) AS y0, CAST(o_orderkey * 13 % 300 AS DOUBLE) AS x0 FROM orders)
+SELECT key, box, x0, y0 FROM box b WHERE st = 'O' AND NOT EXISTS (SELECT 1 FROM box t WHERE t.st = 'F' AND t.key = b.key AND abs(t.x0 - b.x0) < 150 AND abs(t.y0 - b.y0) < 25)""",
+        "region_ids": OBJ + "SELECT doc_id, page, CAST(seq // 4 AS INTEGER) AS region, CASE WHEN count(*) = 1 THEN 'region_' || max_by(obj_id, seq) ELSE 'region_' || max_by(obj_id, seq) || '_' || min_by(obj_id, seq) END AS region_id, count(*) AS n FROM obj WHERE kind = 'text' GROUP BY ALL",
+        "furniture_regions": OBJ + FURN + f"""SELECT doc_id, page, 'region_' || obj_id AS region_id, type, 'l2-cross-page-furniture-v1' AS engine FROM member
+UNION ALL SELECT doc_id, page, 'region_' || obj_id, 'page_number', 'local-page-number-v1' FROM obj JOIN pg USING (doc_id, page) ANTI JOIN member USING (doc_id, obj_id)
+WHERE kind = 'text' AND regexp_matches({T}, '^[0-9]{{1,4}}$') AND y0 >= height * (1 - 0.08) AND ((x0 + x1) / 2 / width <= 0.18 OR (x0 + x1) / 2 / width >= 0.82 OR abs((x0 + x1) / 2 / width - 0.5) <= 0.09)""",
+        "accepted_pages": OBJ.replace("WITH para", "WITH RECURSIVE para", 1) + """, sz AS (SELECT doc_id, page, count(*) AS n FROM obj GROUP BY ALL),
+fold AS (SELECT doc_id, page, n <= 60 AS accepted, CASE WHEN n <= 60 THEN n ELSE 0 END AS total FROM sz WHERE page = 1
+  UNION ALL SELECT sz.doc_id, sz.page, total + n <= 60, total + CASE WHEN total + n <= 60 THEN n ELSE 0 END FROM fold JOIN sz ON sz.doc_id = fold.doc_id AND sz.page = fold.page + 1)
+SELECT doc_id, page, accepted FROM fold""",
+        "missing_fields": OBJ + "SELECT doc_id, 'font' AS field, count(*) AS n FROM obj WHERE kind != 'text' GROUP BY ALL UNION ALL SELECT doc_id, 'text', count(*) FROM obj WHERE text = '' GROUP BY ALL",
+        "box_audit": OBJ + "SELECT doc_id, 'boxes' AS \"check\", obj_id AS subject, CAST(page AS VARCHAR) AS detail FROM obj JOIN pg USING (doc_id, page) WHERE x0 < -1 OR y0 < -1 OR x1 + CASE WHEN seq % 9 = 4 THEN 100 ELSE 0 END > width + 1 OR y1 > height + 1",
     }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
-from ..operators import assembly, furniture, layout, probes, tables
+from ..operators import assembly, audit, furniture, layout, probes, tables
 from ..sources import typeset
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,6 +208,34 @@ def cross_page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.merge_across_pages(parts)
 
 
+def borderless_vs_ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a customer's open orders that no box of a finished order overlaps."""
+    at = (c("o_orderkey") * 37) % 700
+    boxes = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        c("o_custkey").alias("key"), c("o_orderkey").alias("box"), "o_orderstatus", at.cast("double").alias("y0"), (at + 25).cast("double").alias("y1"),
+        ((c("o_orderkey") * 13) % 300).cast("double").alias("x0"), ((c("o_orderkey") * 13) % 300 + 150).cast("double").alias("x1"),
+    )
+    return tables.without_overlap(boxes.where("o_orderstatus = 'O'"), boxes.where("o_orderstatus = 'F'")).select("key", "box", "x0", "y0")
+
+
+def region_ids(objects: DataFrame) -> DataFrame:
+    members = objects.where("kind = 'text'").select("doc_id", "page", F.floor(c("seq") / 4).cast("int").alias("region"), (-c("seq")).alias("pos"), "obj_id")
+    return assembly.region_ids(members)
+
+
+def accepted_pages(objects: DataFrame) -> DataFrame:
+    return assembly.accepted_pages(objects.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n")), 60)
+
+
+def missing_fields(objects: DataFrame) -> DataFrame:
+    rows = objects.select("doc_id", "obj_id", F.when(c("kind") == "text", c("font")).alias("font"), F.when(c("text") != "", c("text")).alias("text"))
+    return audit.missing_fields(rows, ["font", "text"]).groupBy("doc_id", "field").agg(F.count(F.lit(1)).alias("n"))
+
+
+def box_audit(objects: DataFrame, pages: DataFrame) -> DataFrame:
+    return audit.boxes_on_page(objects.withColumn("x1", c("x1") + F.when(c("seq") % 9 == 4, 100).otherwise(0)), pages)
+
+
 def queries() -> dict[str, Query]:
     rules = typeset.table_rules
     return {
@@ -264,4 +292,11 @@ def queries() -> dict[str, Query]:
         "markdown_table": on_lines(lambda t: tables.markdown(typeset.table_cells(t))),
         "cross_page_tables": cross_page_tables,
         "text_blocks": on_pages(text_blocks),
+        "table_roles": on_lines(lambda t: tables.roles(typeset.table_cells(t))),
+        "borderless_vs_ruled": borderless_vs_ruled,
+        "region_ids": on_objects(region_ids),
+        "furniture_regions": on_pages(assembly.furniture_regions),
+        "accepted_pages": on_objects(accepted_pages),
+        "missing_fields": on_objects(missing_fields),
+        "box_audit": on_pages(box_audit),
     }
