@@ -16,6 +16,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map, text_blocks
+
 #: Most pieces kept encoded in a task between blocks.
-CACHE_PIECES = 400_000
-#: Text of a block, in characters; one longer text is a block of its own.
-BLOCK_CHARS = 24_000_000
+CACHE_PIECES = 100_000
+#: Text of a block; one longer text is a block of its own.
+BLOCK_BYTES = 4_000_000
+#: Rows of a result batch.
+OUT_ROWS = 500
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,11 +41,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class MergeReplay:
-    """Encodes sets of byte strings by replaying merges over all of them."""
+    """Encodes sets of byte strings by replaying merges over all of them; made once, on the driver, and broadcast."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = {}
         for token, rank in ranks.items():
             for k in range(1, len(token)):
@@ -51,7 +56,7 @@ class MergeReplay:
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the token that each two neighbours merge to, or -1."""
-        key = a << 32 | b
+        key = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.pair_rank[at], -1)
 
@@ -59,16 +64,16 @@ class MergeReplay:
         """Tokens of all pieces in a row, and the len + 1 offsets of each piece's tokens."""
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         token = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
-        word = np.repeat(np.arange(len(pieces)), size)
+        word = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
         n = len(token)
         if not n:
             return token, np.zeros(len(pieces) + 1, np.int64)
         # one place more, so that -1 is a dead neighbour
-        left, right = np.arange(-1, n), np.arange(1, n + 2)
+        left, right = np.arange(-1, n, dtype=np.int32), np.arange(1, n + 2, dtype=np.int32)
         starts = np.concatenate(([0], np.flatnonzero(np.diff(word)) + 1))
         left[starts] = -1
         right[np.concatenate((starts[1:] - 1, [n - 1]))] = -1
-        token = np.concatenate((token, [-1]))
+        token = np.append(token, np.int32(-1))
 
         index: dict[int, list[np.ndarray]] = {}
         order: list[int] = []
@@ -84,7 +89,7 @@ class MergeReplay:
                     index[r] = [where]
                     heapq.heappush(order, r)
 
-        at = np.flatnonzero(right[:n] >= 0)
+        at = np.flatnonzero(right[:n] >= 0).astype(np.int32)
         ranks = self.rank(token[at], token[at + 1])
         if (ranks >= 0).any():
             put(ranks[ranks >= 0], at[ranks >= 0])
@@ -132,47 +137,52 @@ class Pieces(dict):
 class Codec:
     """Encodes and decodes whole texts."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.replay = MergeReplay(ranks)
+    def __init__(self, replay: MergeReplay, pattern: str):
+        self.replay = replay
         self.split = regex.compile(pattern).findall
         self._forget()
 
     def _forget(self) -> None:
         self.pieces = Pieces()
-        self.ids: list[list[int]] = []  # of each piece
-        self.digits: list[str] = []
-        self.plain: list[bytes] = []
+        self.digits: list[str] = []  # ids of each piece, joined by commas
+        self.plain: list[bytes] = []  # its decoded bytes
 
-    def encode_block(self, texts: list[str]) -> list[list[int]]:
-        """The piece numbers of each text; ``ids``, ``digits`` and ``plain`` then have what each piece stands for."""
+    def encode_block(self, texts: list[str]) -> list[np.ndarray]:
+        """The piece numbers of each text; ``digits`` and ``plain`` then have what each piece stands for."""
         if len(self.pieces) > CACHE_PIECES:
             self._forget()
         number = self.pieces.__getitem__
         out = [np.fromiter(map(number, self.split(t)), np.int32) for t in texts]
-        fresh = list(self.pieces)[len(self.ids) :]
+        fresh = list(islice(self.pieces, len(self.digits), None))
         tokens, at = self.replay.encode([p.encode() for p in fresh])
+        del fresh
         flat, ends = tokens.tolist(), at.tolist()
         token = self.replay.tokens.__getitem__
         for a, b in zip(ends, ends[1:], strict=False):
             ids = flat[a:b]
-            self.ids.append(ids)
             self.digits.append(",".join(map(str, ids)))
             self.plain.append(b"".join(map(token, ids)))  # decoding maps over concatenation, so it is done by piece
         return out
 
+    def ids(self, numbers: np.ndarray) -> list[int]:
+        digits = ",".join(map(self.digits.__getitem__, numbers.tolist()))
+        return list(map(int, digits.split(","))) if digits else []
+
 
-def blocks_of(texts: list[str | None], most: int) -> Iterator[list[str]]:
-    block: list[str] = []
-    size = 0
-    for t in texts:
-        t = t or ""
-        if block and size + len(t) > most:
-            yield block
-            block, size = [], 0
-        block.append(t)
-        size += len(t)
-    if block:
-        yield block
+def result(codec: Codec, rows: pa.Array, encoded: list[np.ndarray], with_ids: bool) -> pa.RecordBatch:
+    n, ids_hash, text_hash, all_ids = [], [], [], []
+    for numbers in encoded:
+        listed = numbers.tolist()
+        digits = ",".join(map(codec.digits.__getitem__, listed))
+        n.append(digits.count(",") + 1 if digits else 0)
+        ids_hash.append(hashlib.sha256(digits.encode()).hexdigest())
+        text_hash.append(hashlib.sha256(b"".join(map(codec.plain.__getitem__, listed))).hexdigest())
+        if with_ids:
+            all_ids.append(np.fromstring(digits, np.int32, sep=","))
+    columns = [rows, pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+    if with_ids:
+        columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+    return pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -182,28 +192,20 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     no token. Other columns are ignored. An empty table gives an empty result. The ranks (about a megabyte, fixed by the
     vocabulary file) are broadcast.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    replay = docs.sparkSession.sparkContext.broadcast(MergeReplay(read_ranks(ranks_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, pattern)
+        codec = Codec(replay.value, pattern)
         for batch in batches:
-            n, ids_hash, text_hash, all_ids = [], [], [], []
-            for block in blocks_of(batch.column(1).to_pylist(), BLOCK_CHARS):
-                for numbers in codec.encode_block(block):
-                    numbers = numbers.tolist()
-                    digits = ",".join(map(codec.digits.__getitem__, numbers))
-                    n.append(digits.count(",") + 1 if digits else 0)
-                    ids_hash.append(hashlib.sha256(digits.encode()).hexdigest())
-                    text_hash.append(hashlib.sha256(b"".join(map(codec.plain.__getitem__, numbers))).hexdigest())
-                    all_ids.append([i for k in numbers for i in codec.ids[k]] if with_ids else None)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
-            if with_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+            for i, j, _, _ in text_blocks(batch.column(1), BLOCK_BYTES):
+                encoded = codec.encode_block([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
+                for k in range(0, len(encoded), OUT_ROWS):
+                    some = encoded[k : k + OUT_ROWS]
+                    yield result(codec, batch.column(0).slice(i + k, len(some)), some, with_ids)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).transform(arrow_map, run, schema).withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -217,4 +219,4 @@ def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decoded, pa.binary())], names=["id", "bytes"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
+    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).transform(arrow_map, run, f"id {kind}, bytes binary").withColumnRenamed("id", id_col)

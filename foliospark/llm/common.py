@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import foliospark
-
-# Functions that run on executors travel with their code, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(foliospark)
-
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -63,6 +60,33 @@ def discard(*tables: DataFrame) -> None:
         _made[:] = [x for x in _made if x[1] != table.scratch_path]
 
 
+#: Most bytes of an Arrow batch between the JVM and Python; long texts then come a few at a time.
+BATCH_BYTES = 16 << 20
+
+
+def arrow_map(frame: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with batches of bounded size, whatever the length of the texts."""
+    spark = frame.sparkSession
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits = str(spark.conf.get(key)).lower().removesuffix("b")
+    if not digits.isdigit() or int(digits) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return frame.mapInArrow(bounded, schema)
+
+
+def give_back() -> None:
+    """Return freed memory of a reused worker to the system, for the tasks that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

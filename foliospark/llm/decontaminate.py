@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
 
@@ -184,7 +186,7 @@ def find_contamination(
     kind = docs.schema[id_col].dataType.simpleString()
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(run, f"id {kind}, n_words bigint, hits array<struct<first:bigint,last:bigint>>, items array<string>")
+        .transform(arrow_map, run, f"id {kind}, n_words bigint, hits array<struct<first:bigint,last:bigint>>, items array<string>")
         .withColumnRenamed("id", id_col)
     )
 
@@ -234,7 +236,7 @@ def decontaminate(
             columns = [pa.array(texts, batch.schema.field(k).type) if k == where else batch.column(k) for k in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow_map, run, docs.schema)
 
 
 def digest_items(names: list[str]) -> str:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, materialize, text_blocks, text_of, union_all
+from .common import arrow_map, discard, fresh, materialize, text_blocks, text_of, union_all
 from .components import connected_components
 from .hashing import mix, prefix_hash, span_hash
 
@@ -217,7 +217,7 @@ def prefixes(texts: DataFrame, order: Order) -> DataFrame:
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(h[place < length[d]].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), prefix], names=["id", "n", "prefix"]).filter(pa.array(n > 0))
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, n bigint, prefix array<bigint>")
+    return texts.transform(arrow_map, run, f"id {texts.schema['id'].dataType.simpleString()}, n bigint, prefix array<bigint>")
 
 
 def fragment_parts(texts: DataFrame, order: Order) -> DataFrame:
@@ -235,7 +235,7 @@ def fragment_parts(texts: DataFrame, order: Order) -> DataFrame:
                 parts = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * FRAGMENTS, pa.int32()), parts)
                 yield pa.RecordBatch.from_arrays([ids, parts], names=["id", "parts"])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, parts array<binary>")
+    return texts.transform(arrow_map, run, f"id {texts.schema['id'].dataType.simpleString()}, parts array<binary>")
 
 
 def count_overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +282,7 @@ def linked(pairs: DataFrame, texts: DataFrame, order: Order) -> DataFrame:
         .select("a", "b", "na", "nb", "x", "y")
     )
     kind = met.schema["a"].dataType.simpleString()
-    partial = met.mapInArrow(count_overlaps, f"a {kind}, b {kind}, na bigint, nb bigint, overlap bigint")
+    partial = met.transform(arrow_map, count_overlaps, f"a {kind}, b {kind}, na bigint, nb bigint, overlap bigint")
     summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     found = materialize(summed.where("100 * overlap >= 80 * (na + nb - overlap)").select("a", "b"), "new-links")
     discard(pairs, wanted, parts)
@@ -375,7 +375,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     bytes_ = docs.select(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     bits = min(MOST_BUCKET_BITS, max(LEAST_BUCKET_BITS, int(bytes_ // 6).bit_length()))  # a word has some six bytes
-    rows = materialize(texts.mapInArrow(profile(bits), f"id {kind}, n bigint, s1 bigint, s2 bigint, chunk int, counts binary"), "profile")
+    rows = materialize(texts.transform(arrow_map, profile(bits), f"id {kind}, n bigint, s1 bigint, s2 bigint, chunk int, counts binary"), "profile")
     order = counted_order(rows.where("chunk IS NOT NULL").select("chunk", "counts"), bits)
     sizes = rows.where("chunk IS NULL").select("id", "n", "s1", "s2")
     known = sizes.where("id IS NOT NULL AND n > 0")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, text_blocks, union_all
+from .common import arrow_map, fold, text_blocks, union_all
 from .labelled import learnable, sample_texts, sigmoid, smallest_ids
 
 FOLDS, HELD_OUT = 3, 1
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
             x = feature_rows([t.as_buffer().to_pybytes() for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "trusted", "least", "x"])
 
-    rows = sample_texts(docs, kinds, id_col, text_col).select(F.col("id").cast("string").alias("id"), "text", "trusted", "least").mapInArrow(run, "id string, trusted int, least int, x binary").collect()
+    rows = sample_texts(docs, kinds, id_col, text_col).select(F.col("id").cast("string").alias("id"), "text", "trusted", "least").transform(arrow_map, run, "id string, trusted int, least int, x binary").collect()
     rows.sort(key=lambda r: r["id"])
     matrix = lambda keep: np.frombuffer(b"".join(r["x"] for r in keep), np.float32).reshape(-1, WIDTH)
     return fit(matrix([r for r in rows if r["trusted"] == 1]), matrix([r for r in rows if r["least"] == 0]))
@@ -164,7 +164,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).transform(arrow_map, run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def score_column(texts: pa.Array, scorer: Scorer) -> np.ndarray:
@@ -185,4 +185,4 @@ def keep_good(docs: DataFrame, scorer: Scorer, text_col: str = "text", least: fl
         for batch in batches:
             yield batch.filter(pa.array(score_column(batch.column(where), model.value) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow_map, run, docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, string_buffers, text_of
+from .common import arrow_map, discard, materialize, string_buffers, text_of
 from .hashing import prefix_hash, span_hash
 from .ngram_join import tidy, with_ids
 from .suffix_array import suffix_array
@@ -112,7 +112,7 @@ def segment_table(texts: DataFrame, length: int) -> DataFrame:
                     names=["id", "t", "at", "windows", "key", "content", "anchors", "left", "right"],
                 )
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, t bigint, at bigint, windows int, key bigint, content bigint, anchors int, left bigint, right bigint")
+    return texts.transform(arrow_map, run, f"id {texts.schema['id'].dataType.simpleString()}, t bigint, at bigint, windows int, key bigint, content bigint, anchors int, left bigint, right bigint")
 
 
 def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +207,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tidy(spark)
     few = listed.withColumnsRenamed({"id": "i", "t": "u"})
     some = with_ids(texts, few.select(F.col("u").alias("t")).distinct(), "left_semi", "t")  # a row that repeats id and text is cut again, to the same segments
-    cut = some.join(few, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("text", "listed").mapInArrow(cut_segments, "key bigint, content bigint, copies int, bytes binary")
+    cut = some.join(few, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("text", "listed").transform(arrow_map, cut_segments, "key bigint, content bigint, copies int, bytes binary")
     shards = max(1, -(-int(total) // shard_bytes))
-    repeats = cut.repartition(shards, "key").mapInArrow(repeated_windows(length), "key bigint, content bigint, first bigint, last bigint")
+    repeats = cut.repartition(shards, "key").transform(arrow_map, repeated_windows(length), "key bigint, content bigint, first bigint, last bigint")
     repeats = materialize(repeats.distinct(), "repeats")
     discard(listed)
     tidy(spark)
@@ -252,4 +252,4 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             )
 
     joined = texts.join(spans.withColumnsRenamed({"id": "i", "t": "u"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u")), "left").select("id", "text", "spans")
-    return joined.mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans array<struct<first:bigint,last:bigint>>").withColumnRenamed("id", id_col)
+    return joined.transform(arrow_map, run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans array<struct<first:bigint,last:bigint>>").withColumnRenamed("id", id_col)
