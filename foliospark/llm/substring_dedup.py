@@ -2,9 +2,9 @@
 
 Sharding. A window of ``length`` bytes is keyed by its least hash of GRAM-byte grams, so equal windows share a key wherever
 they stand. A maximal run of windows of one key is a segment; a text of n bytes has about 2n / length of them. Keys met once
-cannot hold a repeated window, so only segments of the other keys go on; nor can a segment whose key gram, with as many bytes
-to the left or to the right as the longer side of a window must have, is met once. Segments of equal content are combined and
-carry their number, so no group of copies meets in one task.
+cannot hold a repeated window, so only segments of the other keys go on; nor can a segment whose key gram stands in one place, if
+the gram with as many bytes to the left or to the right as the longer side of a window must have is met once, over all places
+of it in all segments. Segments of equal content are combined and carry their number, so no group of copies meets in one task.
 
 Sorting. Segments are dealt to shards by key. Each shard is one text, each segment behind a separator, whose suffix array and
 common prefixes come from external induced sorting (``suffix_array``), with its queues and texts on disk where they
@@ -68,7 +68,8 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 def segments(block: list[tuple[int, int, np.ndarray]], length: int) -> tuple[np.ndarray, ...]:
     """Of each segment of a block: piece number, offset in the piece, windows, key, content hash, number of distinct anchors,
-    hash of the key gram with the bytes to its left, and to its right, as far as the segment has them (else 0)."""
+    hash of the key gram at the first anchor with the bytes to its left, and to its right, as far as the segment has them
+    (else 0). Then segment number, left and right hash of each further anchor, without repeats."""
     data = np.concatenate([p for _, _, p in block])
     sizes = np.array([len(p) for _, _, p in block])
     ends = np.cumsum(sizes)
@@ -91,28 +92,43 @@ def segments(block: list[tuple[int, int, np.ndarray]], length: int) -> tuple[np.
     moved = np.concatenate(([0], np.cumsum(anchor[1:] != anchor[:-1])))
     first, last = window[head], window[tail]
     piece = np.searchsorted(starts, first, "right") - 1
-    place, side = anchor[head], (length - GRAM) // 2
-    left = np.where(place - side >= first, span_hash(sums, np.maximum(place - side, 0), place + GRAM), np.uint64(0))
-    to = place + GRAM + side
-    right = np.where(to <= last + length, span_hash(sums, place, np.minimum(to, len(data))), np.uint64(0))
-    return piece, first - starts[piece], last - first + 1, key[head], span_hash(sums, first, last + length), moved[tail] - moved[head] + 1, left, right
+    side = (length - GRAM) // 2
+
+    def around(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to = place + GRAM + side
+        return (
+            np.where(place - side >= first, span_hash(sums, np.maximum(place - side, 0), place + GRAM), np.uint64(0)),
+            np.where(to <= last + length, span_hash(sums, place, np.minimum(to, len(data))), np.uint64(0)),
+        )
+
+    left, right = around(anchor[head], first, last)
+    again = ~new
+    again[1:] &= anchor[1:] != anchor[:-1]
+    again = np.flatnonzero(again)
+    owner = np.searchsorted(head, again, "right") - 1
+    further = np.unique(np.stack((owner.astype(np.uint64), *around(anchor[again], first[owner], last[owner]))), axis=1)
+    return piece, first - starts[piece], last - first + 1, key[head], span_hash(sums, first, last + length), moved[tail] - moved[head] + 1, left, right, further[0].astype(np.int64), further[1], further[2]
 
 
 def segment_table(texts: DataFrame, length: int) -> DataFrame:
-    """id, t, at, windows, key, content, anchors, left, right of each segment of the texts (id, t, text)."""
+    """id, t, at, windows, key, content, anchors, left, right and further (left and right at the anchors after the first, null
+    without any) of each segment of the texts (id, t, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in pieces(batch.column(2), length):
-                piece, at, windows, key, content, anchors, left, right = segments(block, length)
+                piece, at, windows, key, content, anchors, left, right, owner, lefts, rights = segments(block, length)
+                further = pa.StructArray.from_arrays([pa.array(lefts.view(np.int64)), pa.array(rights.view(np.int64))], ["left", "right"])
+                offsets = np.searchsorted(owner, np.arange(len(key) + 1)).astype(np.int32)
+                further = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(offsets[1:] == offsets[:-1], False)), further)
                 row = pa.array(np.array([r for r, _, _ in block])[piece])
                 at = at + np.array([o for _, o, _ in block])[piece]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(at, pa.int64()), pa.array(windows, pa.int32()), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(anchors, pa.int32()), pa.array(left.view(np.int64)), pa.array(right.view(np.int64))],
-                    names=["id", "t", "at", "windows", "key", "content", "anchors", "left", "right"],
+                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(at, pa.int64()), pa.array(windows, pa.int32()), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(anchors, pa.int32()), pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), further],
+                    names=["id", "t", "at", "windows", "key", "content", "anchors", "left", "right", "further"],
                 )
 
-    return texts.transform(arrow_map, run, f"id {texts.schema['id'].dataType.simpleString()}, t bigint, at bigint, windows int, key bigint, content bigint, anchors int, left bigint, right bigint")
+    return texts.transform(arrow_map, run, f"id {texts.schema['id'].dataType.simpleString()}, t bigint, at bigint, windows int, key bigint, content bigint, anchors int, left bigint, right bigint, further array<struct<left:bigint,right:bigint>>")
 
 
 def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +209,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = materialize(found.join(again, "key"), "keyed-segments")
     discard(found, again)
     tidy(spark)
-    repeated = {s: materialize(keyed.where(f"{s} != 0").groupBy("key", s).count().where("count > 1").select("key", s, F.lit(True).alias(f"{s}_again")), f"repeated-{s}") for s in ("left", "right")}
+    anchored = keyed.select("key", "left", "right").unionByName(keyed.where("further IS NOT NULL").select("key", F.inline("further")))
+    repeated = {s: materialize(anchored.where(f"{s} != 0").groupBy("key", s).count().where("count > 1").select("key", s, F.lit(True).alias(f"{s}_again")), f"repeated-{s}") for s in ("left", "right")}
     live = keyed.join(repeated["left"], ["key", "left"], "left").join(repeated["right"], ["key", "right"], "left")
     live = materialize(live.where("anchors > 1 OR left_again OR right_again").select("id", "t", "at", "windows", "key", "content"), "live-segments")
     discard(keyed, *repeated.values())

@@ -81,3 +81,14 @@ def test_long_texts_are_cut_into_overlapping_parts(spark, monkeypatch):
 
 def test_empty_table(empty):
     assert sd.cut_repeats(empty).count() == 0
+
+
+def test_key_gram_that_also_stands_before_one_copy_of_the_passage(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    rows = []
+    for i in range(0, 80, 2):
+        passage = text(260)
+        rows += [(i, text(300) + passage + text(300)), (i + 1, text(300) + passage[90:170] + passage + text(300))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.cut_repeats(frame).collect()) == brute(rows, 200)
