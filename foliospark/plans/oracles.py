@@ -251,6 +251,7 @@ SELECT doc_id, page, CASE WHEN count(*) OVER (PARTITION BY doc_id, base) > 1 THE
 SELECT doc_id, page, 'path' AS lost FROM census WHERE ep < cp UNION ALL SELECT doc_id, page, 'image' FROM census WHERE ci > 0""",
         "object_coverage": OBJ + COVER + "SELECT * FROM cover",
         "kendall_distance": OBJ + f", p AS (SELECT doc_id, page, seq AS a, x0 * 10000000 + y0 * 10000 + seq AS b FROM obj WHERE kind = 'text' AND page = 1) SELECT p.doc_id, p.page, {r6('avg(CASE WHEN p.b > q.b THEN 1.0 ELSE 0.0 END)')} AS distance FROM p JOIN p q ON p.doc_id = q.doc_id AND p.page = q.page AND p.a < q.a GROUP BY ALL",
+        "kendall_distance_pages": OBJ + f", p AS (SELECT doc_id, page, seq AS a, x0 * 10000000 + y0 * 10000 + seq AS b FROM obj WHERE kind = 'text') SELECT p.doc_id, p.page, {r6('avg(CASE WHEN p.b > q.b THEN 1.0 ELSE 0.0 END)')} AS distance FROM p JOIN p q ON p.doc_id = q.doc_id AND p.page = q.page AND p.a < q.a GROUP BY ALL",
         "page_verdict": OBJ + LAYER + GUTTER + COVER + JUDGE + "SELECT * FROM judgement",
         "page_status": OBJ + LAYER + GUTTER + COVER + JUDGE + "SELECT j.doc_id, j.page, CASE WHEN v.verdict = 'broken' THEN 'failed' WHEN status = 'degraded' THEN 'degraded' ELSE 'ok' END AS status FROM judgement j JOIN verdicts v USING (doc_id, page)",
         "anchor_audit": OBJ + "SELECT a.* FROM (SELECT doc_id, CAST(page + CASE WHEN seq % 11 = 5 THEN 1 ELSE 0 END AS INTEGER) AS page, obj_id FROM obj) a ANTI JOIN obj USING (doc_id, page, obj_id)",

@@ -166,8 +166,13 @@ def object_coverage(objects: DataFrame) -> DataFrame:
 
 
 def kendall_distance(objects: DataFrame) -> DataFrame:
+    """The first page of each document only, as the SQL has it; ``kendall_distance_pages`` takes all."""
+    return kendall_distance_pages(objects.where("page = 1"))
+
+
+def kendall_distance_pages(objects: DataFrame) -> DataFrame:
     """Order by object number against order by x, then y: what a wrong number of columns does."""
-    texts = objects.where("kind = 'text'").where("page = 1")
+    texts = objects.where("kind = 'text'")
     by_x = texts.select("doc_id", "page", "obj_id", (c("x0") * 10_000_000 + c("y0") * 10_000 + c("seq")).alias("pos"))
     return assembly.kendall_distance(texts.select("doc_id", "page", "obj_id", c("seq").alias("pos")), by_x)
 
@@ -280,6 +285,7 @@ def queries() -> dict[str, Query]:
         "lost_kinds": on_pages(lost_kinds),
         "object_coverage": on_objects(object_coverage),
         "kendall_distance": on_objects(kendall_distance),
+        "kendall_distance_pages": on_objects(kendall_distance_pages),
         "page_verdict": on_pages(page_verdict),
         "page_status": on_pages(page_status),
         "anchor_audit": on_objects(anchor_audit),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import columns as X
 from foliospark.operators import assembly, furniture, probes, tables
+from foliospark.plans import queries
 from foliospark.schema import OBJECTS
 
 PAGES = "doc_id bigint, page int, width double, height double, rotation int"
@@ -75,3 +76,14 @@ def test_open_grid_has_low_closure(spark):
 def test_pipe_and_newline_are_escaped(spark):
     cells = spark.createDataFrame([(1, 0, 0, "a|b"), (1, 0, 1, "c\nd"), (1, 1, 0, "1"), (1, 1, 1, "")], "order_id bigint, r int, c int, text string")
     assert tables.markdown(cells).first().markdown == "| a\\|b | c<br>d |\n| --- | --- |\n| 1 |  |"
+
+
+def test_kendall_distance_of_every_page(spark):
+    places = {(1, 1): [0, 50, 100], (1, 2): [100, 50, 0], (1, 3): [0, 100, 50, 75], (2, 2): [9, 0]}
+    rows = [text(d, p, k, x, 0, x + 5, 10) for (d, p), xs in places.items() for k, x in enumerate(xs)]
+    want = {}
+    for page, xs in places.items():
+        pairs = [(a, b) for k, a in enumerate(xs) for b in xs[k + 1 :]]
+        want[page] = round(sum(a > b for a, b in pairs) / len(pairs), 6)
+    found = queries.kendall_distance_pages(spark.createDataFrame(rows, OBJECTS)).collect()
+    assert {(r.doc_id, r.page): r.distance for r in found} == want
