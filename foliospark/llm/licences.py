@@ -1,12 +1,13 @@
 """Licence scan of paragraphs, in DataFrame operations only once the model is fitted.
 
-A paragraph (a line of text) is scored by multinomial logistic regression over its distinct words and word pairs. The
+A paragraph (a line of text, or a notice wrapped over lines) is scored by multinomial logistic regression over its distinct words and word pairs. The
 model is sparse: it knows the n-grams of the notices below and nothing else, so its weights are a small fixed table that
 is broadcast. An ``unknown`` class is trained on look-alike prose, and the probability threshold ``LEAST`` is calibrated
 on notices and prose that were left out. A predicted family is confirmed by comparison with its templates:
 enough of the word triples of one of them must stand in the paragraph.
 
-A paragraph without any of the cue strings is unknown by definition; the cues are checked first, on whole texts.
+Lines are scored if they have a cue string or a word triple of a template; others cannot be confirmed. Notices that are
+wrapped over several lines of a paragraph are found by their triples across line ends and scored as one.
 """
 
 from __future__ import annotations
@@ -139,14 +140,6 @@ def weight_table(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(gram, w)")
 
 
-def cued(text: Column) -> Column:
-    low = F.lower(text)
-    out = low.contains(CUES[0])
-    for cue in CUES[1:]:
-        out = out | low.contains(cue)
-    return out
-
-
 def triples(ws: str) -> str:
     """SQL for the distinct word triples of the word array ``ws``, or the whole of fewer words."""
     return f"CASE WHEN size({ws}) < 3 THEN array(array_join({ws}, ' ')) ELSE array_distinct(transform(sequence(1, size({ws}) - 2), i -> concat_ws(' ', {ws}[i - 1], {ws}[i], {ws}[i + 1]))) END"
@@ -165,55 +158,81 @@ def likeness() -> Column:
     return cases
 
 
-def scan_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, id, pos, cued, family, probability, likeness, confirmed of each paragraph of the rows of ``docs`` with a cue.
+def quoted(some: set[str]) -> str:
+    return f"array({', '.join(repr(t) for t in sorted(some))})"
+
 
-    ``row`` tells repeated rows apart. Only cued paragraphs are split into words; sums of weights are combined map-side.
+def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, id, n_paragraphs of each row of ``docs``, with unit, pos, last, target, ws of each piece of it to be scored (null without any).
+
+    Pieces are lines with a cue or a word triple of a template, and what may be a notice that is wrapped over lines
+    ``pos`` to ``last``: the words from the first to the last triple of the templates of one family (``target``), between blank
+    lines and with no more than the words of the longest template between two of them.
     """
-    classes, _, bias, temperature = fitted()
-    text = text_of(text_col)
-    paragraphs = (
-        docs.where(cued(text))
-        .select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text"))
-        .select("row", "id", F.posexplode(F.split("text", "\n")).alias("pos", "paragraph"))
-        .withColumn("cued", cued(F.col("paragraph")))
-        .select("row", "id", "pos", "cued", F.expr(f"CASE WHEN cued THEN filter(split(lower(paragraph), '{WORD}'), w -> w != '') ELSE cast(array() AS array<string>) END").alias("ws"))
+    by_family = [set().union(*(python_triples(words(n)) for n in notices)) for notices in NOTICES.values()]
+    known = quoted(set().union(*by_family))
+    gap = max(len(words(n)) for notices in NOTICES.values() for n in notices)
+    cue = " OR ".join(f"contains(low[n], '{c}')" for c in CUES)
+    none = "cast(array() AS array<struct<pos:int,last:int,target:string,ws:array<string>>>)"
+    return (
+        docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.split(F.lower(text_of(text_col)), "\n").alias("low"))
+        .withColumn("lw", F.expr(f"transform(low, l -> filter(split(l, '{WORD}'), w -> w != ''))"))
+        .withColumn("flat", F.flatten("lw"))
+        .withColumn("likely", F.expr(f"arrays_overlap({triples('flat')}, {known})"))
+        .withColumn("tok", F.expr(f"CASE WHEN likely THEN flatten(transform(low, (l, i) -> CASE WHEN trim(BOTH ' \t\r' FROM l) = '' THEN array_repeat(struct('' AS w, i AS i), {gap}) ELSE transform(lw[i], w -> struct(w AS w, i AS i)) END)) END"))
+        .withColumn("hits", F.expr(f"CASE WHEN size(tok) >= 3 THEN filter(transform(sequence(0, size(tok) - 3), k -> struct(k AS k, concat_ws(' ', tok[k].w, tok[k + 1].w, tok[k + 2].w) AS t)), h -> array_contains({known}, h.t)) ELSE cast(array() AS array<struct<k:int,t:string>>) END"))
+        .withColumn("of", F.expr(f"transform(array({', '.join(map(quoted, by_family))}), f -> filter(hits, h -> array_contains(f, h.t)))"))
+        .withColumn("starts", F.expr(f"transform(of, h -> CASE WHEN size(h) = 0 THEN cast(array() AS array<int>) ELSE filter(sequence(0, size(h) - 1), k -> k = 0 OR h[k].k - h[greatest(k - 1, 0)].k > {gap}) END)"))
+        .withColumn("spans", F.expr(f"flatten(transform(of, (h, f) -> transform(starts[f], (s, j) -> struct(array({', '.join(map(repr, NOTICES))})[f] AS target, h[s].k AS a, h[CASE WHEN j + 1 < size(starts[f]) THEN starts[f][j + 1] - 1 ELSE size(h) - 1 END].k + 2 AS b))))"))
+        .withColumn("lines", F.expr(f"transform(filter(sequence(0, size(low) - 1), n -> {cue} OR (likely AND arrays_overlap({triples('lw[n]')}, {known}))), n -> struct(n AS pos, n AS last, cast(NULL AS string) AS target, lw[n] AS ws))"))
+        .withColumn("wrapped", F.expr(f"CASE WHEN likely THEN transform(filter(spans, s -> tok[s.a].i < tok[s.b].i), s -> struct(tok[s.a].i AS pos, tok[s.b].i AS last, s.target AS target, transform(slice(tok, s.a + 1, s.b - s.a + 1), t -> t.w) AS ws)) ELSE {none} END"))
+        .select("row", "id", F.size("low").alias("n_paragraphs"), F.posexplode_outer(F.concat("lines", "wrapped")).alias("unit", "u"))
+        .select("row", "id", "n_paragraphs", "unit", "u.pos", "u.last", "u.target", "u.ws")
     )
+
+
+def scored_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``units`` without the words, and cued (whether there is a unit), family, probability, likeness, confirmed."""
+    classes, _, bias, temperature = fitted()
     pairs = F.expr("CASE WHEN size(ws) < 2 THEN cast(array() AS array<string>) ELSE transform(sequence(1, size(ws) - 1), i -> concat_ws(' ', ws[i - 1], ws[i])) END")
+    place = ["row", "id", "n_paragraphs", "unit", "pos", "last", "target"]
     scored = (
-        paragraphs.select("row", "id", "pos", "cued", F.expr(triples("ws")).alias("found"), F.explode_outer(F.array_distinct(F.concat("ws", pairs))).alias("gram"))
+        units(docs, id_col, text_col)
+        .select(*place, F.expr(triples("ws")).alias("found"), F.explode_outer(F.array_distinct(F.concat("ws", pairs))).alias("gram"))
         .join(F.broadcast(weight_table(docs.sparkSession)), "gram", "left")
-        .groupBy("row", "id", "pos", "cued")
+        .groupBy(*place)
         .agg(F.any_value("found").alias("found"), *[F.round(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)), 4).alias(f"z{k}") for k in range(len(classes))])
     )
     z = [(F.col(f"z{k}") + F.lit(bias[k])) / F.lit(temperature) for k in range(len(classes))]
     top = F.greatest(*z)
     best = F.coalesce(*[F.when(z[k] == top, F.lit(c)) for k, c in enumerate(classes)])
     share = 1 / sum((F.exp(v - top) for v in z[1:]), F.exp(z[0] - top))
+    own = F.col("target").isNull() | (F.col("target") == F.col("family"))
     return (
-        scored.select("row", "id", "pos", "cued", "found", best.alias("best"), share.alias("probability"))
+        scored.select(*place, F.col("unit").isNotNull().alias("cued"), "found", best.alias("best"), share.alias("probability"))
         .withColumn("family", F.when(F.col("cued") & (F.col("probability") >= LEAST), F.col("best")).otherwise(UNKNOWN))
         .withColumn("likeness", likeness())
-        .select("row", "id", "pos", "cued", "family", "probability", "likeness", ((F.col("family") != UNKNOWN) & (F.col("likeness") >= CONFIRM)).alias("confirmed"))
+        .select(*place, "cued", "family", "probability", "likeness", ((F.col("family") != UNKNOWN) & own & (F.coalesce("likeness", F.lit(0.0)) >= CONFIRM)).alias("confirmed"))
     )
 
 
+def scan_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row, id, pos, cued, family, probability, likeness, confirmed of each line that is scored. ``row`` tells repeated rows apart."""
+    return scored_units(docs, id_col, text_col).where("cued AND target IS NULL").select("row", "id", "pos", "cued", "family", "probability", "likeness", "confirmed")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_paragraphs, n_cued, n_licence (confirmed), families (sorted, joined by commas), probability (largest) for each row.
+    """id, n_paragraphs (lines), n_cued (lines scored), n_licence (confirmed), families (sorted, joined by commas), probability (largest) for each row.
 
-    Null and empty texts have one empty paragraph and no licence. Repeated rows are scanned each. Other columns are
-    ignored. An empty table gives an empty result. Rows without a cue are answered where they are read.
+    A wrapped notice counts in n_licence once, unless a line of it is confirmed alone. Null and empty texts have one empty
+    paragraph and no licence. Repeated rows are scanned each. Other columns are ignored. An empty table gives an empty result.
     """
-    text = text_of(text_col)
-    none = docs.where(~cued(text)).select(
-        F.col(id_col), F.size(F.split(text, "\n")).cast("long").alias("n_paragraphs"), F.lit(0).cast("long").alias("n_cued"), F.lit(0).cast("long").alias("n_licence"), F.lit("").alias("families"), F.lit(None).cast("double").alias("probability")
-    )
     confirmed = F.col("confirmed")
-    found = scan_paragraphs(docs, id_col, text_col).groupBy("row", "id").agg(
-        F.count(F.lit(1)).alias("n_paragraphs"),
-        F.count_if("cued").alias("n_cued"),
-        F.count_if(confirmed).alias("n_licence"),
+    found = scored_units(docs, id_col, text_col).groupBy("row", "id", "n_paragraphs").agg(
+        F.count_if(F.col("cued") & F.col("target").isNull()).alias("n_cued"),
+        F.collect_list(F.when(confirmed, F.struct("pos", "last", "target", "family"))).alias("sure"),
         F.array_join(F.array_sort(F.collect_set(F.when(confirmed, F.col("family")))), ",").alias("families"),
         F.max(F.when(confirmed, F.round("probability", 6))).alias("probability"),
     )
-    return none.unionByName(found.drop("row").withColumnRenamed("id", id_col))
+    n_licence = F.expr("cast(size(filter(sure, u -> u.target IS NULL OR NOT exists(sure, v -> v.target IS NULL AND v.family = u.family AND v.pos BETWEEN u.pos AND u.last))) AS bigint)")
+    return found.select(F.col("id").alias(id_col), F.col("n_paragraphs").cast("long").alias("n_paragraphs"), "n_cued", n_licence.alias("n_licence"), "families", "probability")

@@ -60,3 +60,21 @@ def test_licence_scores_match_a_plain_version(spark, docs):
         assert abs(r.probability - p.max()) < 1e-3
         assert r.family == (classes[p.argmax()] if p.max() >= licences.LEAST else licences.UNKNOWN)
     assert licences.scan(docs).count() == docs.count()
+
+
+MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights'
+WRAPPED = [
+    ("This text is available under CC BY-SA 4.0.", "cc", 1),
+    (MIT, "mit", 1),
+    ("prose before\n\n# " + MIT.replace("\n", "\n# ") + "\nprose behind", "mit", 1),
+    ("Licensed under\nCC BY-NC 4.0. This Source Code Form is subject to the\nterms of the Mozilla Public License, v. 2.0. More words.", "cc,mpl", 2),
+    ("Released under the MIT License.\nReleased under the MIT License.", "mit", 2),
+    ("Licensed under\n\nCC BY-NC 4.0.", "cc", 1),  # its last line has three of the five triples
+    ("This Source Code Form is subject\n \t\nto the terms of the Mozilla\n\nPublic License, v. 2.0.", "", 0),
+]
+
+
+def test_notices_without_cue_and_wrapped_notices(spark):
+    frame = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(WRAPPED)], "doc_id bigint, text string")
+    found = sorted(licences.scan(frame).collect())
+    assert [(r.families, r.n_licence, r.n_paragraphs) for r in found] == [(f, n, t.count("\n") + 1) for t, f, n in WRAPPED]
