@@ -167,8 +167,8 @@ def _push_predecessors(t: _Text, at: np.ndarray, prefix: np.ndarray, falling: bo
     return [(int(s), positions[a:b], values[a:b]) for s, a, b in zip(target, heads, tails + 1, strict=True)]
 
 
-def _induce(t: _Text, star: np.ndarray, star_prefix: np.ndarray, emit: Callable[[np.ndarray, np.ndarray], None]) -> None:
-    """Sort all suffixes given the S* suffixes in order; ``emit`` gets them from the largest down, each with its prefix with the next smaller one."""
+def _induce(t: _Text, star: np.ndarray, star_prefix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sort all suffixes given the S* suffixes in order; yields them a symbol at a time from the largest down, each with its prefix with the next smaller one."""
     symbols = np.flatnonzero(np.bincount(t.text.astype(np.int64) if t.n < 1 << 26 else t.text))
     top = int(symbols[-1]) + 1
     queue, of_l = SymbolQueue(QUEUE_BYTES), SymbolQueue(QUEUE_BYTES)
@@ -189,7 +189,7 @@ def _induce(t: _Text, star: np.ndarray, star_prefix: np.ndarray, emit: Callable[
         np.minimum(carry, 0, out=carry)
         chunks: list[tuple[np.ndarray, np.ndarray]] = []
         if c == 0:
-            emit(np.array([t.n - 1], t.star.dtype), np.array([0], np.uint8))
+            yield np.array([t.n - 1], t.star.dtype), np.array([0], np.uint8)
             continue
         keep = lambda p, v: chunks.append((p, v))  # noqa: E731, B023
         last = _scan(t, queue.pop(c), c, True, carry, seen, queue.push, keep, None)
@@ -199,7 +199,7 @@ def _induce(t: _Text, star: np.ndarray, star_prefix: np.ndarray, emit: Callable[
             v = np.concatenate([v for _, v in rising])[::-1]
             _scan(t, iter([(at, np.concatenate(([np.uint8(255 if last is not None else 0)], v[:-1])).astype(np.uint8))]), c, True, carry, seen, queue.push, keep, last)
         at, v = np.concatenate([p for p, _ in chunks]), np.concatenate([v for _, v in chunks])
-        emit(at, np.append(v[1:], np.uint8(0)))  # each with the next smaller one
+        yield at, np.append(v[1:], np.uint8(0))  # each with the next smaller one
     queue.close()
     of_l.close()
 
@@ -275,11 +275,10 @@ def star_order(t: _Text, base_names: int) -> np.ndarray:
     """S* positions in suffix order."""
     if len(t.star) < 2:
         return t.star
-    found: list[np.ndarray] = []
     is_star = np.zeros(t.n, bool)
     is_star[t.star] = True
     by_symbol = t.star[np.argsort(t.text[t.star], kind="stable")]
-    _induce(t, by_symbol, np.zeros(len(t.star), np.uint8), lambda at, v: found.append(at[is_star[at]]))
+    found = [at[is_star[at]] for at, _ in _induce(t, by_symbol, np.zeros(len(t.star), np.uint8))]
     names = _names(t, np.concatenate(found)[::-1])
     if names.max() + 1 == len(names):
         order = np.argsort(names)
@@ -287,8 +286,8 @@ def star_order(t: _Text, base_names: int) -> np.ndarray:
         order = _double(names, t.cap)
     else:
         upper = _Text(np.append(names + 1, 0), 1)  # the names end with the only S* suffix of the final zero
-        places: list[np.ndarray] = []
-        _induce(upper, inner := star_order(upper, base_names), np.zeros(len(inner), np.uint8), lambda at, v: places.append(at))
+        inner = star_order(upper, base_names)
+        places = [at for at, _ in _induce(upper, inner, np.zeros(len(inner), np.uint8))]
         order = np.concatenate(places)[::-1][1:]  # without the zero that was added
     return t.star[order]
 
@@ -306,6 +305,4 @@ def suffix_array(text: np.ndarray, cap: int, base_names: int = BASE_NAMES) -> It
         yield np.array([0]), np.array([0], np.uint8)
         return
     order = star_order(t, base_names)
-    chunks: list[tuple[np.ndarray, np.ndarray]] = []
-    _induce(t, order, _prefixes(t, order), lambda at, v: chunks.append((at, v)))
-    yield from chunks
+    yield from _induce(t, order, _prefixes(t, order))

@@ -92,3 +92,13 @@ def test_key_gram_that_also_stands_before_one_copy_of_the_passage(spark):
         rows += [(i, text(300) + passage + text(300)), (i + 1, text(300) + passage[90:170] + passage + text(300))]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.cut_repeats(frame).collect()) == brute(rows, 200)
+
+
+def test_suffix_array_comes_out_while_it_is_made(monkeypatch):
+    left = []
+    monkeypatch.setattr(sx.SymbolQueue, "close", lambda self: left.append(self))
+    text = np.append(np.random.default_rng(6).integers(1, 20, 500), 0).astype(np.uint8)
+    chunks = sx.suffix_array(text, 10)
+    next(chunks)
+    before = len(left)  # the first induction, of S* substrings, is over
+    assert len(list(chunks)) > 1 and len(left) == before + 2
