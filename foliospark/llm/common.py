@@ -61,7 +61,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 #: Most bytes of an Arrow batch between the JVM and Python; long texts then come a few at a time.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def arrow_map(frame: DataFrame, run: Callable, schema) -> DataFrame:
@@ -73,12 +73,21 @@ def arrow_map(frame: DataFrame, run: Callable, schema) -> DataFrame:
         spark.conf.set(key, str(BATCH_BYTES))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         yield from run(batches)
         give_back()
 
     return frame.mapInArrow(bounded, schema)
 
 
+def lean_memory() -> None:
+    """Let a worker's larger arrays be mappings of their own, which go back to the system when they are freed."""
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which else grows with the arrays
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
 def give_back() -> None:
     """Return freed memory of a reused worker to the system, for the tasks that follow."""
     gc.collect()

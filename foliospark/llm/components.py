@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
-def connected_components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """v, label (least vertex reachable) for each vertex of ``links`` (a, b); null ends are ignored."""
+def connected_components(links: DataFrame) -> DataFrame:
+    """v, label (least vertex reachable) for each vertex of ``links`` (a, b); null ends are ignored. Ends when no link is live."""
     links = materialize(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     labels = materialize(links.select(F.explode(F.array("a", "b")).alias("v")).distinct().select("v", F.col("v").alias("label")), "labels")
     live = links
-    for _ in range(most_rounds):
+    while True:
         hooks = materialize(live.groupBy("a").agg(F.min("b").alias("to")), "hooks")
         if hooks.isEmpty():
             break

@@ -5,16 +5,16 @@
    hold more than ``support`` of the rows. Partial counters merge in a shuffle of a few kilobytes per task.
 3. Candidates are verified: exact count and surviving row, by a map-side join and a combined aggregation.
    Those over the threshold are the winners, at most 1 / ``support`` rows, hence broadcast.
-4. Rows of winners are answered on the map side. No remaining digest has more than ``support`` of the rows, so the
-   others go through one ordinary shuffle by digest.
+4. Rows of winners are answered on the map side. The others are counted by a combined aggregation, whose result is
+   joined back by digest: no group is gathered anywhere, and no remaining digest has more than ``support`` of the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import fresh, materialize, text_of
 
 SUPPORT = 1 / 500
 
@@ -25,7 +25,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are compared as they are; null counts as empty, so null and empty texts form one group. The row with the
     largest id stays. A null id is smaller than any other. Of rows that repeat id and text exactly one stays, the
     others have kept = false and the same keep_id. Other columns are ignored, whatever their names. An empty table
-    gives an empty result.
+    gives an empty result. Texts of any length become one digest.
     """
     keyed = docs.select(
         F.col(id_col).alias("id"),
@@ -45,10 +45,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     winners = keyed.join(F.broadcast(candidates), "digest").groupBy("digest").agg(*group).where(F.col("group_size") > total * support)
     winners = F.broadcast(materialize(winners, "exact-winners"))
 
-    by_digest = Window.partitionBy("digest")
-    rest = keyed.join(winners.select("digest"), "digest", "left_anti").select(
-        "id", "row", "digest", *[c.over(by_digest).alias(n) for c, n in zip([F.count(F.lit(1)), F.max(F.struct("id", "row"))], ["group_size", "keep"], strict=True)]
-    )
+    others = keyed.join(winners.select("digest"), "digest", "left_anti")
+    rest = others.join(others.groupBy("digest").agg(*group), "digest").select("id", "row", "digest", "group_size", "keep")
     both = keyed.join(winners, "digest").select("id", "row", "digest", "group_size", "keep").unionByName(rest)
     return both.select(
         F.col("id").alias(id_col),
@@ -59,7 +57,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns (ids must be unique here)."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(id_col)
-    return docs.join(kept, id_col, "left_semi")
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
+    """One row of each text, with all its columns: a row of the largest id.
+
+    Of rows that repeat id and text one stays, whichever; only such rows are shuffled whole. Null and empty texts are one text,
+    null ids are smaller than any other. Columns named like the helpers are not touched. An empty table stays empty.
+    """
+    own, digest, many = fresh(docs.columns, "__id", "__digest", "__many")
+    found = exact_dedup(docs, id_col, text_col, support)
+    stay = found.groupBy(F.col(id_col).alias(own), F.col("text_sha256").alias(digest)).agg(F.max("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias(many)).where("kept").drop("kept")
+    stay = materialize(stay, "exact-stay")
+    hashed = F.sha2(text_of(text_col).cast("binary"), 256)
+    joined = docs.join(stay, F.col(id_col).eqNullSafe(F.col(own)) & (hashed == F.col(digest)))
+    once = joined.where(F.col(many)).dropDuplicates([own, digest])
+    return joined.where(~F.col(many)).unionByName(once).select(*docs.columns)

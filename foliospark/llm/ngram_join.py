@@ -10,11 +10,13 @@ sizes that need an overlap of o share one among the first n - o + 1. Only n-gram
 Links. Groups of near copies are not expanded into pairs. In rounds, every set is compared with the leader it shares most
 prefix n-grams with; sets that get linked are one class, and only n-grams still shared by different classes live on. When the
 pairs left between classes are few (a small multiple of the rows), or rounds stop helping, each of them is compared, so
-no link between classes is lost. Identical sets are one class from the start.
+no link between classes is lost; an n-gram of many sets is then cut into blocks of ``BLOCK_ROWS`` sets, and each pair of
+blocks is a key of its own. Identical sets are one class from the start.
 
 Counting. Each compared pair meets once per fragment; partial overlaps are counted there and summed per pair.
 
-N-grams are 64-bit hashes; 40 bits of them are kept for counting inside a fragment.
+N-grams are 64-bit hashes and are counted as such. Words over ``LONG_WORD`` bytes are hashed by BLAKE2b, shorter ones by a
+polynomial, for which no structured collisions of that length exist.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from __future__ import annotations
 import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,15 +37,20 @@ from .components import connected_components
 from .hashing import mix, prefix_hash, span_hash
 
 N = 5
-LEAST_BUCKET_BITS, MOST_BUCKET_BITS, CHUNK_BITS = 16, 24, 16
+LEAST_BUCKET_BITS, MOST_BUCKET_BITS, CHUNK_BITS = 16, 21, 16
 FRAGMENTS = 3
-BLOCK_BYTES = 1_500_000
-#: Ids in a broadcast set; more are joined by a shuffle.
-MOST_BROADCAST = 2_000_000
+BLOCK_BYTES = 250_000
+#: N-grams that wait to be counted.
+WAITING = 300_000
+#: Longer words are hashed one by one.
+LONG_WORD = 64
+#: Estimated bytes of a broadcast set of ids, and those of a row besides its id; larger sets are joined by a shuffle.
+MOST_BROADCAST, ROW_BYTES = 32_000_000, 48
 ROUNDS = 8
 #: Pairs left, for each posting, at which they are compared one by one.
 PAIRS_A_ROW = 3
-TOKEN_BYTES = 5
+#: Sets of one n-gram that meet in one task when all that is left is compared.
+BLOCK_ROWS = 1_000
 
 #: White space of the word pattern, A-Z to a-z.
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
@@ -50,6 +58,20 @@ _SPACE = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
 _PLACE = mix(np.arange(1, N + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word, lower-cased; a slice of the text at a time, as that takes many bytes for each of its own."""
+    out = np.empty(len(starts), np.uint64)
+    size = ends - starts
+    short = starts + np.minimum(size, LONG_WORD)
+    for base in range(0, len(data), BLOCK_BYTES):
+        i, j = np.searchsorted(starts, (base, base + BLOCK_BYTES))
+        if i < j:
+            out[i:j] = span_hash(prefix_hash(_LOWER[data[base : base + BLOCK_BYTES + LONG_WORD]]), starts[i:j] - base, short[i:j] - base)
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = int.from_bytes(blake2b(_LOWER[data[starts[k] : ends[k]]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Document numbers and n-gram hashes of the texts data[at[i]:at[i + 1]], distinct, sorted by both."""
     inside = ~_SPACE[data]
@@ -57,7 +79,7 @@ def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge[at] = True
     starts = np.flatnonzero(inside & (edge[:-1] | np.concatenate(([True], ~inside[:-1]))))
     ends = np.flatnonzero(inside & (edge[1:] | np.concatenate((~inside[1:], [True])))) + 1
-    word = span_hash(prefix_hash(_LOWER[data]), starts, ends)
+    word = word_hashes(data, starts, ends)
     doc = np.searchsorted(at, starts, "right") - 1
     per_doc = np.bincount(doc, minlength=len(at) - 1)
     first = np.cumsum(per_doc) - per_doc
@@ -96,7 +118,7 @@ class Counts:
     def add(self, h: np.ndarray) -> None:
         self.waiting.append((h >> np.uint64(64 - self.bits)).astype(np.uint32))
         self.held += len(h)
-        if self.held > 3_000_000:
+        if self.held > WAITING:
             self.flush()
 
     def flush(self) -> None:
@@ -143,19 +165,24 @@ def profile(bits: int):
     return run
 
 
-def add_counts(rows: pd.DataFrame) -> pd.DataFrame:
-    """The sum of a chunk's counts, four bytes each; the parts have one or four."""
+def summed_counts(rows: pa.Table) -> np.ndarray:
+    """The sum of the parts of a chunk's counts; a part has one or four bytes for each."""
     total = np.zeros(1 << CHUNK_BITS, np.int64)
-    for counts in rows["counts"]:
-        total += np.frombuffer(counts, np.uint8 if len(counts) == 1 << CHUNK_BITS else np.uint32)
-    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+    for part in rows.column("counts"):
+        raw = part.as_buffer()
+        total += np.frombuffer(raw, np.uint8 if raw.size == 1 << CHUNK_BITS else np.uint32)
+    return np.minimum(total, 2**32 - 1)
+
+
+def add_counts(rows: pa.Table) -> pa.Table:
+    return pa.table({"chunk": rows.column("chunk").slice(0, 1), "counts": pa.array([summed_counts(rows).astype(np.uint32).tobytes()], pa.binary())})
 
 
-def to_classes(rows: pd.DataFrame) -> pd.DataFrame:
-    counts = np.frombuffer(add_counts(rows)["counts"][0], np.uint32).astype(np.int64)
+def to_classes(rows: pa.Table) -> pa.Table:
+    counts = summed_counts(rows)
     size_class = np.log2(counts + 1).astype(np.uint8)
     load = np.bincount(size_class, counts, 64).astype(np.int64)
-    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "counts": [size_class.tobytes()], "load": [load.tobytes()]})
+    return pa.table({"chunk": rows.column("chunk").slice(0, 1), "counts": pa.array([size_class.tobytes()], pa.binary()), "load": pa.array([load.tobytes()], pa.binary())})
 
 
 @dataclass
@@ -181,9 +208,9 @@ class Order:
 
 def counted_order(chunks: DataFrame, bits: int) -> Order:
     """Counts are added in two levels, so that no task gathers the parts of all others."""
-    some = chunks.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16))).groupBy("chunk", "salt").applyInPandas(add_counts, "chunk int, counts binary")
+    some = chunks.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16))).groupBy("chunk", "salt").applyInArrow(add_counts, "chunk int, counts binary")
     size_class, load = np.zeros(1 << bits, np.uint8), np.zeros(64, np.int64)
-    for chunk, part, own in some.groupBy("chunk").applyInPandas(to_classes, "chunk int, counts binary, load binary").collect():
+    for chunk, part, own in some.groupBy("chunk").applyInArrow(to_classes, "chunk int, counts binary, load binary").collect():
         size_class[chunk << CHUNK_BITS : (chunk + 1) << CHUNK_BITS] = np.frombuffer(part, np.uint8)
         load += np.frombuffer(own, np.int64)
     return Order(size_class, load)
@@ -205,9 +232,8 @@ def required_sql(n: str):
     return F.floor((80 * F.col(n) + 99) / 100)
 
 
-def prefixes(texts: DataFrame, order: Order) -> DataFrame:
+def prefixes(texts: DataFrame, shared: Broadcast) -> DataFrame:
     """id, n, prefix array<bigint> (in order) of each text (id, text) that has n-grams: the first of them in the global order."""
-    shared = texts.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,18 +246,16 @@ def prefixes(texts: DataFrame, order: Order) -> DataFrame:
     return texts.transform(arrow_map, run, f"id {texts.schema['id'].dataType.simpleString()}, n bigint, prefix array<bigint>")
 
 
-def fragment_parts(texts: DataFrame, order: Order) -> DataFrame:
+def fragment_parts(texts: DataFrame, shared: Broadcast) -> DataFrame:
     """id, parts array<binary> of each text (id, text): all of its n-grams by fragment of the global order."""
-    shared = texts.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, n, d, h in _blocks_in_order(batch, shared.value):
                 # fragments are ranges of the order, so they follow one another
                 sizes = np.bincount(d * FRAGMENTS + shared.value.fragment(h), minlength=len(n) * FRAGMENTS)
-                low = np.ascontiguousarray(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES])
-                ends = np.concatenate(([0], np.cumsum(sizes) * TOKEN_BYTES)).astype(np.int32)
-                parts = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(low.tobytes())])
+                ends = np.concatenate(([0], np.cumsum(sizes) * 8)).astype(np.int32)
+                parts = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(h.tobytes())])
                 parts = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * FRAGMENTS, pa.int32()), parts)
                 yield pa.RecordBatch.from_arrays([ids, parts], names=["id", "parts"])
 
@@ -242,32 +266,34 @@ def count_overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Replaces the two last columns, fragment parts of two sets, by the size of their intersection."""
     for batch in batches:
         k = batch.num_columns - 2
-        x, y = (tokens(batch.column(c)) for c in (k, k + 1))
+        x, _ = tokens(batch.column(k))
+        y, row = tokens(batch.column(k + 1))
         x.sort()
         at = np.minimum(np.searchsorted(x, y), max(0, len(x) - 1))
-        both = y[x[at] == y] if len(x) else y[:0]
-        # the row number is in the upper bits
-        found = np.bincount((both >> np.uint64(8 * TOKEN_BYTES)).astype(np.int64), minlength=batch.num_rows)
+        found = np.bincount(row[x[at] == y] if len(x) else row[:0], minlength=batch.num_rows)
         yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(found, pa.int64())], names=[*batch.schema.names[:k], "overlap"])
 
 
-def tokens(parts: pa.Array) -> np.ndarray:
-    """Tokens of all rows as row number << 40 | token."""
+def tokens(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all rows, each combined with a mark of its row, and the row of each."""
     offsets = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1]
     raw = np.frombuffer(parts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if parts.buffers()[2] is not None else np.zeros(0, np.uint8)
-    wide = np.zeros((len(raw) // TOKEN_BYTES, 8), np.uint8)
-    wide[:, :TOKEN_BYTES] = raw.reshape(-1, TOKEN_BYTES)
-    rows = np.repeat(np.arange(len(parts), dtype=np.uint64), np.diff(offsets) // TOKEN_BYTES)
-    return wide.view(np.uint64).ravel() | rows << np.uint64(8 * TOKEN_BYTES)
+    row = np.repeat(np.arange(len(parts)), np.diff(offsets) // 8)
+    return np.frombuffer(raw.tobytes(), np.uint64) ^ mix(row.astype(np.uint64) + np.uint64(1)), row
 
 
 def with_ids(frame: DataFrame, ids: DataFrame, how: str, on: str = "id") -> DataFrame:
-    """Semi or anti join of ``frame`` on its key; the keys are broadcast if their number is within the bound."""
-    few = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return frame.join(F.broadcast(ids) if few else ids, on, how)
+    """Semi or anti join of ``frame`` on its key; the keys are broadcast if their bytes are within the bound."""
+    return frame.join(F.broadcast(ids) if fits(ids, on) else ids, on, how)
 
 
-def linked(pairs: DataFrame, texts: DataFrame, order: Order) -> DataFrame:
+def fits(ids: DataFrame, column: str) -> bool:
+    """Whether a hash table of the rows, one id each, stays within MOST_BROADCAST bytes."""
+    size = F.sum(F.octet_length(F.col(column).cast("string")) + ROW_BYTES)
+    return ids.agg(F.coalesce(size, F.lit(0))).first()[0] <= MOST_BROADCAST
+
+
+def linked(pairs: DataFrame, texts: DataFrame, order: Broadcast) -> DataFrame:
     """a, b of the pairs (a, b, na, nb) that are similar enough: partial overlaps by fragment, summed per pair.
 
     Sets are made again from the texts of the documents compared, so the sets of all others are never stored.
@@ -290,9 +316,14 @@ def linked(pairs: DataFrame, texts: DataFrame, order: Order) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let the session drop shuffle files of finished steps."""
+    """Between two steps: let the session drop shuffle files of the last, and executors give back heap that it has left empty.
+
+    An executor's container also has to hold its Python workers, and its heap does not shrink by itself.
+    """
     gc.collect()
     spark._jvm.System.gc()
+    n = spark.sparkContext.defaultParallelism
+    spark.range(n, numPartitions=n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
 
 
 def enough(count: str) -> str:
@@ -306,7 +337,7 @@ EARLY = "ia + floor((80 * (na + nb) + 179) / 180) <= na AND ib + floor((80 * (na
 SIZES_FIT = "100 * least(na, nb) >= 80 * greatest(na, nb)"
 
 
-def find_links(sets: DataFrame, texts: DataFrame, order: Order) -> list[DataFrame]:
+def find_links(sets: DataFrame, texts: DataFrame, order: Broadcast) -> list[DataFrame]:
     """Tables of links (a, b) that join every two sets of similarity 0.8 or more in one component.
 
     A posting's leader is the member whose prefix is shared to the largest part: in a group of near copies it is a text
@@ -352,8 +383,12 @@ def find_links(sets: DataFrame, texts: DataFrame, order: Order) -> list[DataFram
         discard(members, labels, roots)
         members = relabelled
         tidy(spark)
-    one, two = (members.select("token", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("place").alias(f"i{k}"), F.col("label").alias(f"l{k}")) for k in "ab")
-    met = one.join(two, "token").where("a < b AND la != lb").where(SIZES_FIT).where(EARLY).select("a", "b", "na", "nb").distinct()
+    blocked = members.join(members.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks")), "token").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    one, two = (
+        blocked.select("token", F.col("own").alias(own), F.explode(F.expr("sequence(0L, blocks - 1)")).alias(other), F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("place").alias(f"i{k}"), F.col("label").alias(f"l{k}"))
+        for k, own, other in (("a", "x", "y"), ("b", "y", "x"))
+    )
+    met = one.join(two, ["token", "x", "y"]).where("a < b AND la != lb").where(SIZES_FIT).where(EARLY).select("a", "b", "na", "nb").distinct()
     # n-grams of one class only are none that two classes share, so the members left have all that a pair shares in its prefixes
     held = materialize(members.groupBy("id").agg(F.collect_set("token").alias("tokens")), "held")
     both = met.join(held.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(held.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -368,7 +403,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Two texts link when 100 * |intersection| >= 80 * |union| of their sets of 5-word shingles; component_id is the least id
     reachable. A text of one to four words has one n-gram, the whole of it. Null, empty and blank texts have none and link with
     nothing. A row with a null id links with nothing and has a null component_id. Rows that repeat an id are one vertex.
-    Other columns are ignored. An empty table gives an empty result.
+    Very long texts are read whole; the n-grams of one text must fit the memory of a task. Equal similarities are no ties:
+    every link counts. Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
@@ -376,7 +412,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bytes_ = docs.select(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     bits = min(MOST_BUCKET_BITS, max(LEAST_BUCKET_BITS, int(bytes_ // 6).bit_length()))  # a word has some six bytes
     rows = materialize(texts.transform(arrow_map, profile(bits), f"id {kind}, n bigint, s1 bigint, s2 bigint, chunk int, counts binary"), "profile")
-    order = counted_order(rows.where("chunk IS NOT NULL").select("chunk", "counts"), bits)
+    order = spark.sparkContext.broadcast(counted_order(rows.where("chunk IS NOT NULL").select("chunk", "counts"), bits))
     sizes = rows.where("chunk IS NULL").select("id", "n", "s1", "s2")
     known = sizes.where("id IS NOT NULL AND n > 0")
     groups = materialize(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("count")).where("count > 1").drop("count"), "equal-sets")
@@ -385,6 +421,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = materialize(prefixes(with_ids(texts, same.select(F.col("a").alias("id")).distinct(), "left_anti"), order), "sets")
     links = find_links(sets, texts, order)
     discard(sets)
+    order.destroy()
     labels = connected_components(union_all([same, *links]))
     discard(groups, same, *links)
     tidy(spark)
@@ -394,7 +431,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, but for those whose component has a smaller id; rows with null ids stay."""
     found = materialize(similar_components(docs, id_col, text_col).where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("id")).distinct(), "near-copies")
-    few = found.count() <= MOST_BROADCAST
+    few = fits(found, "id")
     (name,) = fresh(docs.columns, "__copy")
     found = found.withColumnRenamed("id", name)
     return docs.join(F.broadcast(found) if few else found, F.col(id_col) == F.col(name), "left_anti")

@@ -1,12 +1,13 @@
 """Toxicity by compression distance: one zstandard dictionary of toxic text, one of ordinary text.
 
-Words are first written in a fixed-width code (a hash of their first letters), so that every word costs the same when it
-is new and the same when a dictionary knows it; forms of one stem share a code. A text is cut into windows of ``WORDS``
-words. Each window is compressed with either dictionary; the ordinary length less the toxic length is its distance.
+Words are first written in a fixed-width code, so that every word costs the same when it is new and the same when a
+dictionary knows it: a hash of the whole word, then one of its first ``STEM`` characters, which the forms of a word share.
+(On plain bytes a known word of five letters saves two or three bytes, which drowns among the syllables that any two
+dictionaries know by chance; README has the figures.) A text is cut into windows of ``WORDS`` words. Each window is compressed with either dictionary; the ordinary length less the toxic length is its distance.
 
 Both dictionaries are trained (``zstandard.train_dictionary``) on the bounded labelled sample: the ordinary one on windows
-of ordinary texts, the toxic one on the passages of toxic texts that set them apart, which are the runs of words that are
-significantly more frequent there. The toxic compressor knows ordinary text too, as toxic text mostly is ordinary; the
+of ordinary texts, the toxic one on the passages of toxic texts that set them apart: runs of words of which the whole or the
+stem is significantly more frequent there. The toxic compressor knows ordinary text too, as toxic text mostly is ordinary; the
 ordinary one gets filler of the same length instead, so offsets cost the same and the distance is due to toxic passages.
 
 Thresholds on the distances (how many windows pass each, and the largest distances) are calibrated to a probability
@@ -32,15 +33,15 @@ from .labelled import Calibration, learnable, sample_texts, smallest_ids
 
 FOLDS, HELD_OUT = 4, 2
 TOXIC_ROWS, ORDINARY_ROWS = 2_000, 4_000
-#: Bytes of a word that its code depends on, bytes of the code, words of a window.
-STEM, CODE, WORDS = 4, 12, 16
+#: Characters of a stem, bytes of a code (half for the word, half for the stem), words of a window.
+STEM, CODE, WORDS = 5, 16, 16
 LEVEL = 3
 ORDINARY_BYTES, TOXIC_BYTES = 65_536, 4_096
-THRESHOLDS = (1, 2, 3, 4, 5)
+THRESHOLDS = (1, 3, 5, 7, 10)
 #: For dictionaries; the rest of the labelled sample calibrates.
 FIT_SHARE = 0.7
-#: A word sets toxic texts apart if it is so many times as frequent there, by so many standard errors, in so many texts.
-LIFT, SIGMAS, LEAST_TEXTS = 5, 3, 3
+#: A word or stem sets toxic texts apart if it is so many times as frequent there, by so many standard errors, in so many texts.
+LIFT, SIGMAS, LEAST_TEXTS = 5, 9, 10
 MOST_CODES = 500_000
 
 
@@ -50,10 +51,19 @@ class Codes(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MOST_CODES:
             self.clear()
-        code = self[word] = hashlib.blake2b(word[:STEM], digest_size=CODE).digest()
+        stem = word.decode("utf-8", "replace")[:STEM].encode()
+        code = self[word] = half(word) + half(b"\0" + stem)
         return code
 
 
+def half(part: bytes) -> bytes:
+    return hashlib.blake2b(part, digest_size=CODE // 2).digest()
+
+
+def halves(codes: list[bytes]) -> set[bytes]:
+    return {c[k : k + CODE // 2] for c in codes for k in (0, CODE // 2)}
+
+
 def windows(codes: list[bytes]) -> list[bytes]:
     return [b"".join(codes[i : i + WORDS]) for i in range(0, len(codes), WORDS)] or [b""]
 
@@ -126,9 +136,9 @@ def fit(toxic: list[bytes], ordinary: list[bytes], toxic_share: float | None = N
     recode = lambda t: [codes[w] for w in words_of(t)]
     in_toxic, in_ordinary = Counter(), Counter()
     for t in toxic[:a]:
-        in_toxic.update(set(recode(t)))
+        in_toxic.update(halves(recode(t)))
     for t in ordinary[:b]:
-        in_ordinary.update(set(recode(t)))
+        in_ordinary.update(halves(recode(t)))
 
     def apart(c: bytes) -> bool:
         x, y = in_toxic[c], in_ordinary[c]
@@ -139,7 +149,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes], toxic_share: float | None = N
     telling = {c for c in in_toxic if apart(c)}
     passages: list[bytes] = []
     for t in toxic[:a]:
-        run = [c for c in recode(t) if c in telling]
+        run = [c for c in recode(t) if not telling.isdisjoint((c[: CODE // 2], c[CODE // 2 :]))]
         passages += [b"".join(run[i : i + 8]) for i in range(0, len(run), 8)]
     plain = [w for t in ordinary[:b] for w in windows(recode(t))]
     plain = [plain[i] for i in np.random.default_rng(0).permutation(len(plain))[:120_000]]
@@ -166,7 +176,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score double for each row; null and empty texts have one empty window. Other columns are ignored; nothing is shuffled."""
+    """id, score double for each row.
+
+    Null and empty texts have one empty window. Very long texts are scored whole, window by window. Repeated rows are scored
+    each, alike; a null id is passed on. Other columns are ignored, nothing is shuffled. An empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

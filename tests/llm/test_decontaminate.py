@@ -55,3 +55,23 @@ def test_spans_are_cut_and_mostly_benchmark_text_goes(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, note string")
     bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
     assert {r.doc_id: r.text for r in dc.decontaminate(frame, bench).collect()} == {1: f"Start, {long}", 3: None, 4: "clean"}
+    more = bench.unionByName(spark.createDataFrame([(8, " ".join(f"v{i}" for i in range(45)))], "item_id bigint, text string"))
+    assert {r.doc_id: r.text for r in dc.decontaminate(frame, more, block_words=20).collect()} == {1: f"Start, {long}", 3: None, 4: "clean"}
+
+
+def test_an_automaton_of_a_block_stays_small():
+    rng = random.Random(1)
+    items = [(str(i), [b"%d" % rng.randrange(20_000) for _ in range(100)]) for i in range(500)]
+    automaton = dc.SuffixAutomaton(items, dc.WINDOW)
+    assert automaton.nbytes() < 400 * 50_000 / 4  # under a hundred bytes a word
+    for item, words in items[:50]:
+        assert automaton.match(words) == ([(0, 100)], {item})
+
+
+def test_long_items_are_cut_without_losing_windows(spark):
+    words = [f"w{i}" for i in range(70)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "a b"), (3, None)], "item_id bigint, text string")
+    blocks = list(dc.item_blocks(bench, "item_id", "text", 25, 10))
+    windows = {tuple(w[k : k + 10]) for b in blocks for i, w in b if i == "1" for k in range(len(w) - 9)}
+    assert windows == {tuple(x.encode() for x in words[k : k + 10]) for k in range(61)} and ("2", [b"a", b"b"]) in blocks[-1]
+    assert all(sum(len(w) for _, w in b) <= 25 for b in blocks)
