@@ -81,7 +81,8 @@ def arrow_map(frame: DataFrame, run: Callable, schema) -> DataFrame:
 
 
 def lean_memory() -> None:
-    """Let a worker's larger arrays be mappings of their own, which go back to the system when they are freed."""
+    """Let a worker's larger arrays, Arrow's too, be mappings of their own, which go back to the system when they are freed."""
+    pa.set_memory_pool(pa.system_memory_pool())  # the usual pool keeps what it once had
     with contextlib.suppress(OSError, AttributeError):  # other C libraries
         libc = ctypes.CDLL("libc.so.6")
         libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which else grows with the arrays

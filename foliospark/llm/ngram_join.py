@@ -407,6 +407,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     every link counts. Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    tidy(spark)  # what the session ran before
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     bytes_ = docs.select(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
@@ -432,6 +433,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs``, all columns, but for those whose component has a smaller id; rows with null ids stay."""
     found = materialize(similar_components(docs, id_col, text_col).where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("id")).distinct(), "near-copies")
     few = fits(found, "id")
+    tidy(docs.sparkSession)
     (name,) = fresh(docs.columns, "__copy")
     found = found.withColumnRenamed("id", name)
     return docs.join(F.broadcast(found) if few else found, F.col(id_col) == F.col(name), "left_anti")
