@@ -29,7 +29,7 @@ from .common import arrow_map, text_blocks
 #: Most pieces kept encoded in a task between blocks.
 CACHE_PIECES = 100_000
 #: Text of a block; one longer text is a block of its own.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 #: Rows of a result batch.
 OUT_ROWS = 500
 
