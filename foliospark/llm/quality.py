@@ -15,14 +15,14 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fold, text_blocks, union_all
+from .common import arrow_map, fold, give_back, text_blocks, union_all
 from .labelled import learnable, sample_texts, sigmoid, smallest_ids
 
 FOLDS, HELD_OUT = 3, 1
@@ -31,6 +31,8 @@ HASHED = 1024
 SHAPE = 10
 WIDTH = 256 + SHAPE + HASHED
 BLOCK_BYTES = 2_000_000
+#: Columns and rows of a matrix that are worked on at a time.
+SLICE, ROWS = 64, 512
 
 
 def features(text: bytes, out: np.ndarray) -> None:
@@ -66,6 +68,18 @@ def feature_rows(texts: list[bytes]) -> np.ndarray:
     return x
 
 
+def packed(x: np.ndarray) -> list[bytes]:
+    """The rows, mostly zeros, as they travel to the driver."""
+    return [compress(r.tobytes(), 1) for r in x]
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    x = np.empty((len(rows), WIDTH), np.float32)
+    for row, part in zip(x, rows, strict=True):
+        row[:] = np.frombuffer(decompress(part), np.float32)
+    return x
+
+
 @dataclass
 class Scorer:
     mean: np.ndarray
@@ -110,16 +124,33 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, epochs: int = 20, least_share:
     return float(np.clip(((share_u + slack) / share_p).min(), 0.05, 0.98))
 
 
+def moments(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each column over the rows of all parts, without a copy of them all."""
+    found = []
+    for k in range(0, parts[0].shape[1], SLICE):
+        some = np.concatenate([x[:, k : k + SLICE] for x in parts])
+        found.append((some.mean(0), some.std(0)))
+    mean, deviation = zip(*found, strict=True)
+    return np.concatenate(mean), np.concatenate(deviation)
+
+
+def standardised(x: np.ndarray, order: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The rows in the order given, with a last column of ones."""
+    out = np.ones((len(x), x.shape[1] + 1), np.float32)
+    for i in range(0, len(x), ROWS):
+        out[i : i + ROWS, :-1] = (x[order[i : i + ROWS]] - mean) / scale
+    return out
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, epochs: int = 60) -> Scorer:
     """Minimise the non-negative risk; without rows of either kind the score is constant."""
     width = positive.shape[1]
     if len(positive) < 4 or len(unlabelled) < 4:
         return Scorer(np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros(width, np.float32), 0.0, 0.5)
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0) + 0.02
-    prepared = lambda x: np.c_[(x - mean) / scale, np.ones(len(x), np.float32)].astype(np.float32)
+    mean, deviation = moments(positive, unlabelled)
+    scale = deviation + 0.02
     rng = np.random.default_rng(7)
-    p, u = prepared(positive[rng.permutation(len(positive))]), prepared(unlabelled[rng.permutation(len(unlabelled))])
+    p, u = (standardised(x, rng.permutation(len(x)), mean, scale) for x in (positive, unlabelled))
     pi = estimate_prior(p, u) if prior is None else prior
     w, adam = np.zeros(p.shape[1], np.float32), Adam(p.shape[1], 0.005)
     size = 256
@@ -136,7 +167,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Scorer:
     """Fit on at most ``positives`` trusted rows and ``unlabelled`` rows, none of the held-out fold; labels are read of these only.
 
-    Features are computed where the texts are; the driver gets a fixed number of rows of fixed width.
+    Features are computed where the texts are; the driver gets a fixed number of rows of fixed width, compressed, and holds
+    them twice at most.
     """
     held_out = fold(F.col(id_col), FOLDS) == HELD_OUT
     trusted = learnable(labels, label, held_out, id_col).where("label = 1")
@@ -146,12 +178,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = feature_rows([t.as_buffer().to_pybytes() for t in batch.column(1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "trusted", "least", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(packed(x), pa.binary())], names=["id", "trusted", "least", "x"])
 
     rows = sample_texts(docs, kinds, id_col, text_col).select(F.col("id").cast("string").alias("id"), "text", "trusted", "least").transform(arrow_map, run, "id string, trusted int, least int, x binary").collect()
     rows.sort(key=lambda r: r["id"])
-    matrix = lambda keep: np.frombuffer(b"".join(r["x"] for r in keep), np.float32).reshape(-1, WIDTH)
-    return fit(matrix([r for r in rows if r["trusted"] == 1]), matrix([r for r in rows if r["least"] == 0]))
+    scorer = fit(unpacked([r["x"] for r in rows if r["trusted"] == 1]), unpacked([r["x"] for r in rows if r["least"] == 0]))
+    del rows
+    give_back()
+    return scorer
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from zlib import crc32
 
 import numpy as np
@@ -76,3 +77,19 @@ def test_non_negative_risk_finds_the_positives():
     scorer = quality.fit(p, u)
     assert abs(scorer.prior - 0.7) < 0.08
     assert (scorer(p) > 0.5).mean() > 0.95 and (scorer(n) < 0.5).mean() > 0.95
+
+
+def test_quality_fit_takes_little_more_than_a_copy_of_its_rows():
+    rng = np.random.default_rng(4)
+    positive, unlabelled = ((rng.random((n, quality.WIDTH), np.float32) < 0.1).astype(np.float32) for n in (1_500, 2_500))
+    both = np.concatenate([positive, unlabelled])
+    mean, deviation = quality.moments(positive, unlabelled)
+    assert np.array_equal(mean, both.mean(0)) and np.array_equal(deviation, both.std(0))
+    assert np.array_equal(quality.unpacked(quality.packed(positive)), positive)
+    assert sum(map(len, quality.packed(positive))) < 0.5 * positive.nbytes
+    del both
+    tracemalloc.start()
+    quality.fit(positive, unlabelled, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.6 * (positive.nbytes + unlabelled.nbytes)
