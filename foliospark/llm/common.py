@@ -27,15 +27,35 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Whether Spark deletes the shuffle files of an SQL execution at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session's ``key`` is ``value`` inside the block, and as before after it."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared scratch folder and read it back.
 
     This cuts the lineage with files that every executor can reach, so a lost executor costs a reread and not a
-    recomputation. ``release`` removes the tables of a session when their readers are done.
+    recomputation. ``release`` removes the tables of a session when their readers are done. The shuffle files of the write
+    are of no use once the table is there and go with it; else they fill the disk until the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    with setting(spark, CLEANUP, "true"):
+        df.write.parquet(path)
     _made.append((spark, path))
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path

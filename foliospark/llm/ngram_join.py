@@ -345,8 +345,10 @@ def find_links(sets: DataFrame, texts: DataFrame, order: Broadcast) -> list[Data
     """
     spark = sets.sparkSession
     postings = sets.select("id", "n", F.posexplode("prefix").alias("place", "token"))
-    shared = postings.groupBy("token").count().where("count > 1").select("token")
+    # a table of its own, so that the files of its shuffle are gone when all postings are shuffled
+    shared = materialize(postings.groupBy("token").count().where("count > 1").select("token"), "shared-tokens")
     known = materialize(postings.join(shared, "token").withColumn("label", F.col("id")), "members")
+    discard(shared)
     tidy(spark)
     share = F.count(F.lit(1)) / F.max(F.col("n") - required_sql("n") + 1)
     members = materialize(known.join(known.groupBy("id").agg(share.alias("share")), "id"), "members")

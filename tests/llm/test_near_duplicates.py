@@ -1,10 +1,11 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 
-from foliospark.llm import components, ngram_join
+from foliospark.llm import common, components, ngram_join
 
 
 def shingle_set(t):
@@ -83,3 +84,22 @@ def test_keep_one_keeps_the_least_id_and_null_ids(rows, clashing):
     least = {c for is_null, i, _, c in brute(rows) if not is_null and c == i}
     kept = [r.doc_id for r in ngram_join.keep_one(clashing).collect()]
     assert {i for i in kept if i is not None} == least and kept.count(None) == 2
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in files.split("\n") if "/shuffle_" in f}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    spark.conf.set(common.CLEANUP, "false")
+    before = shuffle_files(spark)
+    rows = spark.range(5_000).selectExpr("id", "id % 7 AS k").repartition(3, "k")
+    table = common.materialize(rows.join(rows.groupBy("k").count(), "k"), "joined")
+    for _ in range(20):  # files are deleted behind the call
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    assert not left and table.count() == 5_000
+    assert spark.conf.get(common.CLEANUP) == "false"
+    spark.conf.unset(common.CLEANUP)
